@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .bounded import few
 from .graph import components
 from .words import U, Words, chunks, mix
 
@@ -35,8 +36,6 @@ COMMON = 500_000
 FREQUENT = 48
 #: A set with more frequent tokens in its prefix indexes them one by one.
 WIDE = 24
-#: Ids up to this many are broadcast (some tens of MB); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,15 +152,9 @@ def _slice(data: np.ndarray, offsets: np.ndarray, batch: pa.RecordBatch, part: p
     return data[o[0] : o[-1]], o - o[0]
 
 
-def _ids(df: DataFrame) -> DataFrame:
-    """Distinct ids, with a hint to broadcast them where they are few."""
-    df = stored(df.distinct(), "ids")
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
-
-
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose whole texts are similar."""
-    ids = _ids(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))))
+    ids = few(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
     texts = stored(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
     a, b = texts.toDF("a", "ta"), texts.toDF("b", "tb")
     return stored(pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_similar(k, percent), "a long, b long"), "links")
@@ -219,7 +212,7 @@ def join(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     sets = stored(rows.mapInArrow(_sets(k, percent, common), "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "sets")
     # copies are combined before the shuffle; the first of them keeps its prefix
     classes = stored(sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id")), "classes")
-    first = sets.where("n > 0").join(_ids(classes.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
+    first = sets.where("n > 0").join(few(classes.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi")
     extended = first.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("id"), "n")
     groups = extended.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("token", "a")
     members = stored(extended.join(groups, "token"), "members")

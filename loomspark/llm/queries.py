@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from . import jaccard, licenses, mixing, packing, quality_rules, substrings, token_files
+from . import jaccard, licenses, line_dedup, mixing, packing, quality_rules, substrings, token_files
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumns({"base_failed": ~base, "kept": quality_rules.passes(("web", 2))})
 
 
+def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = line_dedup.dedup(_documents(spark, sf))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.join(_documents(spark, sf))
 
@@ -55,5 +60,5 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_jaccard_join, op5_mixing, op6_substring_dedup, op8_token_files, op9_license_scan, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op4_jaccard_join, op5_mixing, op6_substring_dedup, op8_token_files, op9_license_scan, op10_packing)}
 ORACLE: dict[str, str] = {}

@@ -26,12 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .bounded import with_lists
 from .words import U, Words, chunks, groups, mix
 
 #: Words in an anchor.
 ANCHOR = 8
-#: Bytes of repeated keys that are broadcast; more are joined by a shuffle.
-BROADCAST_BYTES = 64 << 20
 
 
 class Graph:
@@ -135,14 +134,6 @@ def _cleaned(window: int) -> Callable:
     return clean
 
 
-def _with_lists(docs: DataFrame, lists: DataFrame, *, inner: bool) -> DataFrame:
-    """Join by doc_id; the lists are broadcast if their size, as counted, is small."""
-    size = lists.agg(F.sum(F.lit(64) + sum(8 * F.greatest(F.size(c), F.lit(0)) for c in lists.columns if c != "doc_id"))).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        lists = F.broadcast(lists)
-    return docs.join(lists, "doc_id", "inner" if inner else "left")
-
-
 def dedup(docs: DataFrame, *, window: int = 20) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, and ``text``, its kept
     words joined by single spaces.
@@ -164,8 +155,8 @@ def dedup(docs: DataFrame, *, window: int = 20) -> DataFrame:
     by_path = straight.union(again).groupBy("doc_id").agg(F.collect_set("path").alias("paths"))
     # the different paths at branches, window by window
     asked = stored(merged.groupBy(F.col("first").alias("doc_id")).agg(F.collect_set("path").alias("paths")), "asked")
-    windows = stored(_with_lists(rows, asked, inner=True).mapInArrow(_windows(window), "doc_id long, window long").distinct(), "windows")
+    windows = stored(with_lists(rows, asked, inner=True).mapInArrow(_windows(window), "doc_id long, window long").distinct(), "windows")
     firsts = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("window", "first")
     by_window = windows.join(firsts, "window").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
     known = stored(by_path.join(by_window, "doc_id", "full"), "known")
-    return _with_lists(rows, known, inner=False).mapInArrow(_cleaned(window), "doc_id long, n_words long, n_removed long, text string")
+    return with_lists(rows, known).mapInArrow(_cleaned(window), "doc_id long, n_words long, n_removed long, text string")
