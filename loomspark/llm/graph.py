@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = edges.where(F.col(a) != F.col(b))
     e = stored(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     before = None
-    while True:
+    while not e.isEmpty():
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: what is larger than u goes to u's smallest neighbour
         near = _near(both).select("u", F.least("u", "m").alias("m"))

@@ -227,3 +227,14 @@ def join(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     by_set = classes.join(labels, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component_id"))
     light = sets.select("doc_id", "n", "d1", "d2")
     return light.join(by_set, ["d1", "d2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is its own component_id, with all their columns; of rows
+    that share a doc_id one stays. Rows with a null doc_id stay."""
+    found = stored(join(docs, k=k, percent=percent), "found")
+    copies = few(found.where("component_id <> doc_id").select("doc_id").distinct())
+    kept = docs.join(copies, "doc_id", "left_anti")
+    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))

@@ -5,21 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from ..session import scratch
-from . import jaccard, licenses, line_dedup, mixing, packing, quality_rules, substrings, token_files
+from . import embedding_dedup, jaccard, licenses, line_dedup, mixing, nbsvm, packing, quality_rules, substrings, token_files
+from .tokens import default_tokenizer
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
-def tokenizer() -> str:
-    """The tokenizer file that the queries use."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     rows = quality_rules.ledger(_documents(spark, sf))
     base = quality_rules.passes(("base", 1))
@@ -31,6 +27,12 @@ def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf)
+    model = nbsvm.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    return nbsvm.score(docs, model)
+
+
 def op4_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.join(_documents(spark, sf))
 
@@ -45,9 +47,13 @@ def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "source", "copy", "n_copies", "shuffle_key", F.md5("text").alias("text_md5"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_dedup.dedup(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
 def op8_token_files(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch(spark, "tokens")
-    token_files.write(_documents(spark, sf), folder, tokenizer())
+    token_files.write(_documents(spark, sf), folder, default_tokenizer())
     return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -56,9 +62,23 @@ def op9_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
-    pieces = packing.packed(_documents(spark, sf), tokenizer())
+    pieces = packing.packed(_documents(spark, sf), default_tokenizer())
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op4_jaccard_join, op5_mixing, op6_substring_dedup, op8_token_files, op9_license_scan, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_line_dedup,
+        op3_quality_classifier,
+        op4_jaccard_join,
+        op5_mixing,
+        op6_substring_dedup,
+        op7_embedding_dedup,
+        op8_token_files,
+        op9_license_scan,
+        op10_packing,
+    )
+} | {"pipeline": corpus_pipeline.run}
 ORACLE: dict[str, str] = {}

@@ -105,3 +105,10 @@ class Encoder:
         ids = self.flat[np.arange(total) - np.repeat(ends - size - self.at[which], size)]
         before = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
         return ids, np.diff(before)
+
+
+def default_tokenizer() -> str:
+    """The public tokenizer file that queries and pipeline use; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
