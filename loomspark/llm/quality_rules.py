@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .words import U, Words, chunks, groups, mix, spans_hash
 
@@ -141,7 +142,7 @@ def keep(docs: DataFrame, policy: tuple[str, int] = ("web", 2)) -> DataFrame:
             for m in _measured(iter([batch.select(["doc_id", "text"])])):
                 yield pa.RecordBatch.from_arrays([*batch.columns, *m.columns[1:]], [*batch.schema.names, *names])
 
-    ddl = docs.schema
+    ddl = StructType(list(docs.schema))
     for n in names:
         ddl = ddl.add(n, "long")
     return docs.mapInArrow(judged, ddl).where(passes(policy, failed_bits(prefix))).select(*docs.columns)
