@@ -88,37 +88,47 @@ def edit_distance(long_: Column, short: Column, edits: int) -> Column:
     return F.when(more > k, F.lit(k + 1)).otherwise(F.aggregate(masks, start, step)["d"])
 
 
+def _cut(x: Column, y: Column, body) -> Column:
+    """body of two strings without their common prefix, each computed once."""
+    rest = _let(_common_prefix(x, y), lambda p: F.struct(F.substr(x, p + 1).alias("x"), F.substr(y, p + 1).alias("y")))
+    return _let(rest, lambda r: body(r["x"], r["y"]))
+
+
 def _close(pairs: DataFrame, edits: int) -> DataFrame:
     """Pairs (a, b) whose texts ta and tb are within ``edits``; what they share at both ends is
     cut off first, which changes no distance."""
-    swap = F.length("ta") < F.length("tb")
-    p = pairs.select("a", "b", F.when(swap, F.col("tb")).otherwise(F.col("ta")).alias("x"), F.when(swap, F.col("ta")).otherwise(F.col("tb")).alias("y"))
-    p = p.where(F.length("x") - F.length("y") <= edits).withColumn("same", _common_prefix(F.col("x"), F.col("y")))
-    p = p.select("a", "b", F.reverse(F.substr("x", F.col("same") + 1)).alias("x"), F.reverse(F.substr("y", F.col("same") + 1)).alias("y"))
-    p = p.withColumn("same", _common_prefix(F.col("x"), F.col("y")))
-    p = p.select("a", "b", F.substr("x", F.col("same") + 1).alias("x"), F.substr("y", F.col("same") + 1).alias("y"))
-    return p.where(edit_distance(F.col("x"), F.col("y"), edits) <= edits).select("a", "b")
-
-
-def _keys(line: Column, n: Column, edits: int) -> Column:
-    """Array of (key, own): the segments of a line, and its substrings where a segment of a line of
-    its length or a shorter one may be. ``own`` marks the segments."""
+    a, b = F.col("ta"), F.col("tb")
+    ordered = F.when(F.length(a) < F.length(b), F.struct(b.alias("x"), a.alias("y"))).otherwise(F.struct(a.alias("x"), b.alias("y")))
+
+    def inner(x: Column, y: Column) -> Column:
+        return _let(F.struct(F.reverse(x).alias("x"), F.reverse(y).alias("y")), lambda r: _cut(r["x"], r["y"], lambda u, v: edit_distance(u, v, edits)))
+
+    distance = _let(ordered, lambda r: _cut(r["x"], r["y"], inner))
+    return pairs.where((F.abs(F.length(a) - F.length(b)) <= edits) & (distance <= edits)).select("a", "b")
+
+
+def _keyed(lines: DataFrame, edits: int) -> DataFrame:
+    """``lines`` (line, ...) with (key, own) of each: the segments of a line, and its substrings
+    where a segment of a line of its length or a shorter one may be. ``own`` marks the segments."""
     parts = edits + 1
+    others = [c for c in lines.columns if c != "line"]
+    # the lengths are columns of their own, so that each is computed once for a line
+    sized = lines.withColumn("n", F.length("line"))
+    sized = sized.withColumns({f"size{less}": ((F.col("n") - less) / parts).cast("int") for less in range(parts)})
+    sized = sized.withColumns({f"longer{less}": F.col("n") - less - F.col(f"size{less}") * parts for less in range(parts)})
     out = []
     for less in range(edits + 1):
-        of = n - less  # length of the indexed line
-        size = F.floor(of / parts).cast("int")
-        longer = of - size * parts  # so many of the last segments have one character more
+        of, size, longer = F.col("n") - less, F.col(f"size{less}"), F.col(f"longer{less}")  # of the indexed line; so many of its last segments have one character more
         for i in range(1, parts + 1):
             at = F.lit(1) + size * (i - 1) + F.greatest(F.lit(0), F.lit(i - 1 - parts) + longer)
             length = size + F.when(F.lit(parts - i) < longer, 1).otherwise(0)
             low = max(-(i - 1), less - (parts - i))
             high = min(i - 1, less + (parts - i))
             for move in range(low, high + 1):
-                key = F.xxhash64(of, F.lit(i), F.substr(line, at + move, length))
-                fits = (of >= SHORTEST) & (at + move >= 1) & (at + move + length - 1 <= n)
+                key = F.xxhash64(of, F.lit(i), F.substr("line", at + move, length))
+                fits = (of >= SHORTEST) & (at + move >= 1) & (at + move + length - 1 <= F.col("n"))
                 out.append(F.when(fits, F.struct(key.alias("key"), F.lit(less == 0 and move == 0).alias("own"))))
-    return F.filter(F.array(*out), lambda k: k.isNotNull())
+    return sized.select(*others, F.explode(F.array(*out)).alias("k")).where("k IS NOT NULL").select("k.key", "k.own", *others)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -148,8 +158,7 @@ def dedup(docs: DataFrame, *, edits: int = 2) -> DataFrame:
     # each different line once
     once = with_lists(rows, equal).select("doc_id", "gone", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     once = once.where(F.coalesce(~F.array_contains("gone", F.col("line_no")), F.lit(True)) & (F.length("line") >= SHORTEST) & (F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != ""))
-    keyed = once.select("doc_id", "line_no", F.xxhash64("line").alias("id"), F.explode(_keys(F.col("line"), F.length("line"), edits)).alias("k"))
-    keyed = keyed.select("k.key", "k.own", "id", "doc_id", "line_no")
+    keyed = _keyed(once.select("doc_id", "line_no", F.xxhash64("line").alias("id"), "line"), edits)
     groups = keyed.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("id"))).alias("lead"), F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z AND lead IS NOT NULL").select("key", "lead")
     members = stored(keyed.join(few(groups), "key"), "members")
     places = stored(members.select("id", "doc_id", "line_no").distinct(), "places")
