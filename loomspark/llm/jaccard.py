@@ -5,13 +5,14 @@ ones last. Two sets with similarity t or more have a common token among the firs
 ``n - ceil(t * n) + 1`` of each, and k common tokens among the first k - 1 more of each. So
 
 1. documents with equal sets become one class, which its smallest doc_id stands for;
-2. prefixes are grouped by token, and each member is verified against the smallest one of its
-   group; that links most members of a group of near copies by one pair each;
+2. prefixes are grouped by token, and each member is verified against the one of its group that
+   has the fewest rare tokens; that links most members of a group of near copies by one pair each;
 3. only groups that still hold several components go on. There a rare token is a key by itself,
    and frequent tokens are keys by twos (or one by one, for sets with very many of them), and every
    pair of members of different components that meets under a key is verified.
 
-Every verification is exact, on the whole texts. No pair is capped or sampled.
+Pairs whose sizes or 512-bit marks rule similarity out are not verified, which loses none. Every
+verification is exact, on the whole texts. No pair is capped or sampled.
 """
 
 from __future__ import annotations
@@ -108,20 +109,25 @@ def _sets(k: int, percent: int, common) -> Callable:
         for batch, data, offsets in chunks(batches):
             h, at = shingle_sets(data, offsets, k)
             n = np.diff(at)
+            text = np.repeat(np.arange(len(n)), n)
             rank = np.zeros(len(h), U)
             if len(known):
                 place = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 rank = np.where(known[place] == h, level[place], 0).astype(U)
-            text = np.repeat(np.arange(len(n)), n)
             order = np.lexsort((h, rank, text))
+            rare = n - np.bincount(text[rank > 0], minlength=len(n))
             # one token more than the prefix, for combinations of two
             size = np.where(n > 0, np.minimum(n - (-(-percent * n // 100)) + 2, n), 0)
             nth = np.arange(len(h)) - np.repeat(at[:-1], n)
             prefix = h[order][nth < np.repeat(size, n)].view(np.int64)
             sums = [np.concatenate([[U(0)], np.cumsum(mix(h ^ U(c)))]) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+            # a bit for each of 512 classes of tokens: whether the set has an odd number of them
+            bit = (mix(h ^ U(0x3C79AC492BA7B653)) >> U(55)).astype(np.int64)
+            odd = (np.bincount(text * 512 + bit, minlength=len(n) * 512) & 1).astype(np.uint8)
+            marks = np.packbits(odd).view(np.int64)
             digest = [(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), *map(pa.array, digest), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(prefix))], ["doc_id", "n", "d1", "d2", "prefix"]
+                [batch.column("doc_id"), pa.array(n), pa.array(rare), *map(pa.array, digest), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(prefix)), pa.FixedSizeListArray.from_arrays(pa.array(marks), 8).cast(pa.list_(pa.int64()))], ["doc_id", "n", "rare", "d1", "d2", "prefix", "marks"]
             )
 
     return describe
@@ -166,20 +172,25 @@ def _twos(tokens: Column) -> Column:
     return F.flatten(F.transform(tokens, lambda x, i: F.transform(rest(i), lambda y: F.concat_ws(",", x.cast("string"), y.cast("string")))))
 
 
-def _size_ok(x: str, y: str, percent: int):
-    return (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
+def _may(x: str, y: str, percent: int) -> Column:
+    """Whether two sets can be similar, from sizes and marks: similar sets differ in at most
+    (1 - t) / (1 + t) of their tokens, and marks in no more bits than sets in tokens."""
+    nx, ny, mx, my = F.col(f"n{x}"), F.col(f"n{y}"), F.col(f"m{x}"), F.col(f"m{y}")
+    bits = sum((F.bit_count(mx[i].bitwiseXOR(my[i])) for i in range(8)), F.lit(0))
+    return (F.lit(100) * F.least(nx, ny) >= F.lit(percent) * F.greatest(nx, ny)) & (F.lit(100 + percent) * bits <= F.lit(100 - percent) * (nx + ny))
 
 
-def _rest(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs that meet under a key but are in different components so far."""
-    lab = members.join(labels, "id", "left").withColumn("c", F.coalesce("component", F.col("id"))).select("token", "id", "n", "c")
+def _rest(members: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs that meet under a key, are in different components so far, and may be similar."""
+    lab = members.join(labels, "id", "left").withColumn("c", F.coalesce("component", F.col("id"))).select("token", "id", "c")
     mixed_ = lab.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("size")).where("c1 <> c2")
-    rows = stored(lab.join(mixed_.select("token", "size"), "token"), "mixed")
-    single = rows.where(F.col("size") <= FREQUENT).select(F.col("token").cast("string").alias("key"), "id", "n", "c", F.lit(False).alias("wide"))
-    often = rows.where(F.col("size") > FREQUENT).groupBy("id", "n", "c").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
+    rows = stored(lab.join(mixed_.select("token", "size"), "token").join(sketches, "id"), "mixed")
+    own = ["id", "n", "m", "c"]
+    single = rows.where(F.col("size") <= FREQUENT).select(F.col("token").cast("string").alias("key"), *own, F.lit(False).alias("wide"))
+    often = rows.where(F.col("size") > FREQUENT).groupBy(*own).agg(F.sort_array(F.collect_set("token")).alias("tokens"))
     wide = often.withColumn("wide", F.size("tokens") > WIDE)
-    alone = wide.select(F.explode(F.col("tokens").cast("array<string>")).alias("key"), "id", "n", "c", "wide")
-    twos = wide.where("NOT wide").select(F.explode(_twos("tokens")).alias("key"), "id", "n", "c", "wide")
+    alone = wide.select(F.explode(F.col("tokens").cast("array<string>")).alias("key"), *own, "wide")
+    twos = wide.where("NOT wide").select(F.explode(_twos(F.col("tokens"))).alias("key"), *own, "wide")
     return _meet(single, percent).union(_meet(twos, percent)).union(_meet(alone, percent, wide=True)).distinct()
 
 
@@ -188,12 +199,12 @@ def _meet(keyed: DataFrame, percent: int, *, wide: bool = False) -> DataFrame:
     component, so that a group that is nearly one component makes few pairs."""
     first = keyed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2")
     rows = keyed.join(first.select("key", "c1"), "key")
-    x = rows.where("c <> c1").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("wide").alias("wx"))
-    y = rows.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("wide").alias("wy"))
-    met = x.join(y, "key").where((F.col("cx") != F.col("cy")) & _size_ok("nx", "ny", percent))
+    x = rows.where("c <> c1").select("key", *(F.col(c).alias(f"{c}x") for c in ("id", "n", "m", "c", "wide")))
+    y = rows.select("key", *(F.col(c).alias(f"{c}y") for c in ("id", "n", "m", "c", "wide")))
+    met = x.join(y, "key").where((F.col("cx") != F.col("cy")) & _may("x", "y", percent))
     if wide:
-        met = met.where("wx OR wy")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        met = met.where("widex OR widey")
+    return met.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
 
 
 def join(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
@@ -209,18 +220,23 @@ def join(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     common = spark.sparkContext.broadcast(common_tokens(rows, k))
-    sets = stored(rows.mapInArrow(_sets(k, percent, common), "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "sets")
+    sets = stored(rows.mapInArrow(_sets(k, percent, common), "doc_id long, n long, rare long, d1 long, d2 long, prefix array<long>, marks array<long>"), "sets")
     # copies are combined before the shuffle; the first of them keeps its prefix
     classes = stored(sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id")), "classes")
     first = sets.where("n > 0").join(few(classes.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    extended = first.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("id"), "n")
-    groups = extended.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("token", "a")
-    members = stored(extended.join(groups, "token"), "members")
-    sizes = classes.where("id IS NOT NULL").select(F.col("id").alias("a"), F.col("n").alias("na"))
-    stars = members.where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.max("n").alias("nb")).join(sizes, "a").where(_size_ok("na", "nb", percent)).select("a", "b")
-    links = verified(rows, stored(stars.distinct(), "stars"), k, percent)
+    sketches = few(first.select(F.col("doc_id").alias("id"), "n", "rare", F.col("marks").alias("m")).dropDuplicates(["id"]))
+    extended = first.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("id"))
+    groups = extended.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("token")
+    members = stored(extended.join(groups, "token").join(sketches.select("id", "n", "rare"), "id"), "members")
+    # the member with the fewest rare tokens is the one that copies differ from least
+    leads = members.groupBy("token").agg(F.min(F.struct((F.col("rare") / F.col("n")).alias("share"), "id")).alias("lead")).select("token", F.col("lead.id").alias("idx"))
+    stars = members.select("token", F.col("id").alias("idy")).join(leads, "token").where("idx <> idy").select("idx", "idy").distinct()
+    side = lambda s: sketches.select(F.col("id").alias(f"id{s}"), F.col("n").alias(f"n{s}"), F.col("m").alias(f"m{s}"))
+    stars = stars.join(side("x"), "idx").join(side("y"), "idy").where(_may("x", "y", percent)).select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b"))
+    stars = stored(stars.distinct(), "stars")
+    links = verified(rows, stars, k, percent)
     labels = stored(components(links).toDF("id", "component"), "labels")
-    rest = stored(_rest(members, labels, percent).join(stars, ["a", "b"], "left_anti"), "rest")
+    rest = stored(_rest(members.select("token", "id"), labels, sketches.select("id", "n", "m"), percent).join(stars, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = verified(rows, rest, k, percent)
         labels = stored(components(links.union(more)).toDF("id", "component"), "labels")

@@ -15,6 +15,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is handled alone.
 CHUNK = 1 << 20
+#: Rows handled at once.
+ROWS = 4096
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -116,7 +118,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         data, offsets = utf8(batch.column(column))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+            to = min(at + ROWS, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
 
