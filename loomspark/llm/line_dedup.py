@@ -158,11 +158,14 @@ def dedup(docs: DataFrame, *, edits: int = 2) -> DataFrame:
     # each different line once
     once = with_lists(rows, equal).select("doc_id", "gone", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     once = once.where(F.coalesce(~F.array_contains("gone", F.col("line_no")), F.lit(True)) & (F.length("line") >= SHORTEST) & (F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != ""))
-    keyed = _keyed(once.select("doc_id", "line_no", F.xxhash64("line").alias("id"), "line"), edits)
-    groups = keyed.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("id"))).alias("lead"), F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z AND lead IS NOT NULL").select("key", "lead")
+    keyed = stored(_keyed(once.select("doc_id", "line_no", F.xxhash64("line").alias("id"), "line"), edits), "keys")
+    groups = keyed.groupBy("key").agg(F.max("own").alias("own"), F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z AND own").select("key")
     members = stored(keyed.join(few(groups), "key"), "members")
+    # the line that meets others under the most keys is the one that copies differ from least
+    met = members.groupBy("id").agg((-F.count("*")).alias("rank"))
+    leads = members.join(met, "id").groupBy("key").agg(F.min(F.struct("rank", "id")).alias("lead")).select("key", F.col("lead.id").alias("lead"))
     places = stored(members.select("id", "doc_id", "line_no").distinct(), "places")
-    stars = stored(members.where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct(), "stars")
+    stars = stored(members.join(leads, "key").where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct(), "stars")
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = few(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())

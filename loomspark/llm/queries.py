@@ -81,4 +81,51 @@ QUERIES = {
         op10_packing,
     )
 } | {"pipeline": corpus_pipeline.run}
-ORACLE: dict[str, str] = {}
+_WORD = "[^\\x20\\x09-\\x0D]"
+_RULES_SQL = [(1 << i, fails) for i, (_, fails) in enumerate(quality_rules.RULES)]
+
+_OP1 = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '{_WORD}+') AS words, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{_WORD}')) AS lines FROM d
+), places AS (
+  SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) >= 3
+), windows AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, words[i], words[i + 1], words[i + 2]) AS n FROM places
+), repeated AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE n > 1) GROUP BY r
+), m AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines,
+    CAST(length(regexp_replace(text, '[^A-Z]', '', 'g')) AS BIGINT) AS n_upper, CAST(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS BIGINT) AS n_letters
+  FROM w LEFT JOIN repeated USING (r)
+), b AS (
+  SELECT *, CAST({" + ".join(f"CASE WHEN {fails} THEN {bit} ELSE 0 END" for bit, fails in _RULES_SQL)} AS BIGINT) AS failed_bits FROM m
+)
+SELECT *, (failed_bits & {quality_rules.mask(("base", 1))}) <> 0 AS base_failed, (failed_bits & {quality_rules.mask(("web", 2))}) = 0 AS kept FROM b
+"""
+
+_OP5 = """
+WITH RECURSIVE d AS (
+  SELECT *, coalesce(source, '') AS s, CAST(coalesce(length(text), 0) + 1 AS BIGINT) AS mass FROM documents
+), sizes AS (
+  SELECT s, CAST(sum(mass) AS BIGINT) AS mass FROM d GROUP BY s
+), rates AS (
+  SELECT s, pow(CAST(mass AS DOUBLE), 0.5) / sum(pow(CAST(mass AS DOUBLE), 0.5)) OVER () * sum(mass) OVER () / mass AS rate FROM sizes
+), cdf(s, rate, k, lp, c) AS (
+  SELECT s, rate, 0, -rate, exp(-rate) FROM rates
+  UNION ALL
+  SELECT s, rate, k + 1, lp + ln(rate / (k + 1)), c + exp(lp + ln(rate / (k + 1))) FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate) + 30)
+), u AS (
+  SELECT doc_id, source, s, text, (CAST('0x' || substr(md5('17:' || doc_id), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM d
+), n AS (
+  SELECT doc_id, source, text, CAST((SELECT count(*) FROM cdf WHERE cdf.s = u.s AND cdf.c < u.u) AS INTEGER) AS n_copies FROM u
+), copies AS (
+  SELECT doc_id, source, text, n_copies, CAST(unnest(range(1, n_copies + 1)) AS INTEGER) AS copy FROM n WHERE n_copies > 0
+)
+SELECT doc_id, source, copy, n_copies, CAST('0x' || substr(md5('17:' || doc_id || ':' || copy), 1, 15) AS BIGINT) AS shuffle_key, md5(text) AS text_md5 FROM copies
+"""
+
+ORACLE: dict[str, str] = {"op1_quality_rules": _OP1, "op5_mixing": _OP5}
