@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .license_texts import KNOWN
 
 #: A line that opens with a copyright statement, after any comment marks.
@@ -74,7 +75,8 @@ def scan(docs: DataFrame, texts: dict[str, tuple[str, ...]] = KNOWN) -> DataFram
         "doc_id", F.sha2(F.array_join("lines", " "), 256).alias("digest"), F.filter("lines", lambda x: F.length(x).isin(sizes)).alias("lines")
     )
     lookup = F.broadcast(table.select("digest", "license_id"))
-    matched = whole.join(lookup, "digest", "left")
+    # each text is brought to its canonical form once; a digest and a few lines are kept of it
+    matched = stored(whole.join(lookup, "digest", "left"), "digests")
     by_line = F.broadcast(table.select(F.col("digest").alias("line_digest"), F.col("license_id").alias("line_license")))
     found = (
         matched.where(F.size("lines") > 0)
