@@ -14,15 +14,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import Encoder
-from .words import chunks
+from .words import U, chunks, mix
 
 #: A shard has about so many bytes of text, or so many documents, whichever is fewer.
-SHARD_BYTES, SHARD_DOCS = 32 << 20, 16_000
+SHARD_BYTES, SHARD_DOCS = 16 << 20, 4_000
 
 
 def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple[float, float, float], rule: str) -> tuple[np.ndarray, np.ndarray]:
@@ -70,14 +69,13 @@ def _pieces(tokenizer: str, end_id: int, most: int, shards: int) -> Callable:
             short = (sizes - (count - 1) * most)[doc]  # the first piece has what does not fill a sequence
             start = np.where(piece == 0, 0, short + (piece - 1) * most)
             length = np.where(piece == 0, short, most)
-            shard = np.empty(len(doc), np.int32)
-            names = batch.column("doc_id").to_pylist()
+            names = batch.column("doc_id")
             again = []
-            for d in names:
+            for d in names.to_pylist():
                 seen[d] = seen.get(d, 0) + 1
                 again.append(seen[d])
-            for i, (d, p) in enumerate(zip(doc.tolist(), piece.tolist())):
-                shard[i] = xxhash.xxh3_64_intdigest(f"{names[d]}/{p}/{again[d]}") % shards
+            key = mix(np.asarray(names.fill_null(-1), np.int64).view(U) + U(0x9E3779B97F4A7C15) * np.array(again, U))[doc]
+            shard = (mix(key + piece.astype(U)) % U(shards)).astype(np.int32)
             cuts = np.concatenate([[0], np.cumsum(length)]) * 4
             blob = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), blob], ["shard", "doc_id", "piece", "start", "length", "ids"])
