@@ -180,11 +180,27 @@ def _may(x: str, y: str, percent: int) -> Column:
     return (F.lit(100) * F.least(nx, ny) >= F.lit(percent) * F.greatest(nx, ny)) & (F.lit(100 + percent) * bits <= F.lit(100 - percent) * (nx + ny))
 
 
+def _needed(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` (token, pos, n, ...) whose place is among those where the first two tokens that
+    the set shares with a similar one of the same group can be.
+
+    Sizes are put into classes a little wider than similarity spans, so that a similar set which
+    is smaller is in the class of a set or the one below; the smallest size there is the bound.
+    """
+    classed = rows.withColumn("b", F.floor(F.log("n") / F.log(F.lit(100.1 / percent))))
+    least = classed.groupBy("token", "b").agg(F.min("n").alias("least"))
+    least = least.union(least.withColumn("b", F.col("b") + 1)).groupBy("token", "b").agg(F.min("least").alias("least"))
+    smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    common = F.ceil((F.col("n") + smallest) * percent / (100 + percent))
+    return classed.join(least, ["token", "b"]).where(F.col("pos") < F.col("n") - common + 2).drop("b", "least")
+
+
 def _rest(members: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs that meet under a key, are in different components so far, and may be similar."""
-    lab = members.join(labels, "id", "left").withColumn("c", F.coalesce("component", F.col("id"))).select("token", "id", "c")
+    lab = members.join(labels, "id", "left").withColumn("c", F.coalesce("component", F.col("id"))).select("token", "pos", "id", "n", "c")
     mixed_ = lab.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("size")).where("c1 <> c2")
-    rows = stored(lab.join(mixed_.select("token", "size"), "token").join(sketches, "id"), "mixed")
+    rows = _needed(lab.join(mixed_.select("token", "size"), "token"), percent)
+    rows = stored(rows.join(sketches.select("id", "m"), "id"), "mixed")
     own = ["id", "n", "m", "c"]
     single = rows.where(F.col("size") <= FREQUENT).select(F.col("token").cast("string").alias("key"), *own, F.lit(False).alias("wide"))
     often = rows.where(F.col("size") > FREQUENT).groupBy(*own).agg(F.sort_array(F.collect_set("token")).alias("tokens"))
@@ -225,7 +241,7 @@ def join(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     classes = stored(sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id")), "classes")
     first = sets.where("n > 0").join(few(classes.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi")
     sketches = few(first.select(F.col("doc_id").alias("id"), "n", "rare", F.col("marks").alias("m")).dropDuplicates(["id"]))
-    extended = first.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("id"))
+    extended = first.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("id"))
     groups = extended.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("token")
     members = stored(extended.join(groups, "token").join(sketches.select("id", "n", "rare"), "id"), "members")
     # the member with the fewest rare tokens is the one that copies differ from least
@@ -236,7 +252,7 @@ def join(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     stars = stored(stars.distinct(), "stars")
     links = verified(rows, stars, k, percent)
     labels = stored(components(links).toDF("id", "component"), "labels")
-    rest = stored(_rest(members.select("token", "id"), labels, sketches.select("id", "n", "m"), percent).join(stars, ["a", "b"], "left_anti"), "rest")
+    rest = stored(_rest(members.select("token", "pos", "id", "n"), labels, sketches.select("id", "m"), percent).join(stars, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = verified(rows, rest, k, percent)
         labels = stored(components(links.union(more)).toDF("id", "component"), "labels")
