@@ -128,4 +128,77 @@ WITH RECURSIVE d AS (
 SELECT doc_id, source, copy, n_copies, CAST('0x' || substr(md5('17:' || doc_id || ':' || copy), 1, 15) AS BIGINT) AS shuffle_key, md5(text) AS text_md5 FROM copies
 """
 
-ORACLE: dict[str, str] = {"op1_quality_rules": _OP1, "op5_mixing": _OP5}
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+_OP4 = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}'), '{_WORD}+') AS words FROM documents
+), places AS (
+  SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM w WHERE len(words) > 0
+), s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(words[i:i + 4], ' ')) AS h FROM places
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), reach(doc_id, c) AS (
+  SELECT doc_id, doc_id FROM w UNION SELECT b, c FROM reach JOIN links ON a = reach.doc_id
+), least AS (
+  SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM w LEFT JOIN n USING (doc_id) JOIN least USING (doc_id)
+"""
+
+_OP6 = f"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS words FROM documents
+), places AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 19], ' ')) AS h FROM places
+), repeated AS (
+  SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM repeated
+), each_word AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS j FROM w
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS text FROM each_word ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    t = f"regexp_replace(lower(coalesce({text}, '')), {_quoted(licenses.COPYRIGHT_LINE)}, '\\1', 'g')"
+    t = f"regexp_replace(replace({t}, {_quoted(licenses.RIGHTS)}, ''), {_quoted(licenses.NOT_WORD)}, ' ', 'g')"
+    t = f"' ' || replace({t}, chr(10), ' ' || chr(10) || ' ') || ' '"
+    for old, new in licenses.SPELLINGS:
+        t = f"replace({t}, ' {old} ', ' {new} ')"
+    return f"list_filter(list_transform(string_split({t}, chr(10)), lambda l: trim(l)), lambda l: l <> '')"
+
+
+_OP9 = f"""
+WITH texts(license_id, text) AS (
+  VALUES {", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, all_ in licenses.KNOWN.items() for t in all_)}
+), known AS (
+  SELECT digest, min(license_id) AS license_id
+  FROM (SELECT license_id, array_to_string({_canonical_sql("text")}, ' ') AS c, sha256(c) AS digest FROM texts) WHERE c <> '' GROUP BY digest
+), d AS (
+  SELECT doc_id, row_number() OVER () AS r, {_canonical_sql("text")} AS lines FROM documents
+), found AS (
+  SELECT r, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS line_licenses, count(*) AS n
+  FROM (SELECT r, sha256(line) AS digest FROM (SELECT r, unnest(lines) AS line FROM d)) JOIN known USING (digest) GROUP BY r
+)
+SELECT doc_id, sha256(array_to_string(lines, ' ')) AS digest, license_id, coalesce(line_licenses, '') AS line_licenses, CAST(coalesce(n, 0) AS BIGINT) AS n_license_lines
+FROM d LEFT JOIN known ON known.digest = sha256(array_to_string(lines, ' ')) LEFT JOIN found USING (r)
+"""
+
+ORACLE: dict[str, str] = {"op1_quality_rules": _OP1, "op4_jaccard_join": _OP4, "op5_mixing": _OP5, "op6_substring_dedup": _OP6, "op9_license_scan": _OP9}
