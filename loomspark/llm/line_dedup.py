@@ -8,6 +8,7 @@ banded bit-parallel edit distance, and linked lines form classes of which the fi
 
 A group of lines under one segment is first verified against one of them, which settles groups of
 near copies by one pair a line; only groups that still hold several classes are paired further.
+There, lines whose 256-bit marks of character pairs rule the distance out do not become a pair.
 """
 
 from __future__ import annotations
@@ -107,6 +108,22 @@ def _close(pairs: DataFrame, edits: int) -> DataFrame:
     return pairs.where((F.abs(F.length(a) - F.length(b)) <= edits) & (distance <= edits)).select("a", "b")
 
 
+def _marks(line: Column) -> Column:
+    """A bit for each of 256 classes of character pairs: whether the line has an odd number of
+    them, as four longs. An edit changes four pairs at most, so at most four bits."""
+    one = _long(1)
+
+    def pairs(chars: Column) -> Column:
+        return F.transform(chars, lambda c, i: F.pmod(F.xxhash64(c, F.get(chars, i + 1)), F.lit(256)).cast("int"))
+
+    def flip(marks: Column, g: Column) -> Column:
+        bit = F.call_function("shiftleft", one, g % 64)
+        return F.transform(marks, lambda m, i: F.when(i == (g / 64).cast("int"), m.bitwiseXOR(bit)).otherwise(m))
+
+    grams = _let(F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0)), pairs)
+    return F.aggregate(grams, F.array(*(_long(0) for _ in range(4))), flip)
+
+
 def _keyed(lines: DataFrame, edits: int) -> DataFrame:
     """``lines`` (line, ...) with (key, own) of each: the segments of a line, and its substrings
     where a segment of a line of its length or a shorter one may be. ``own`` marks the segments."""
@@ -167,11 +184,14 @@ def dedup(docs: DataFrame, *, edits: int = 2) -> DataFrame:
     places = stored(members.select("id", "doc_id", "line_no").distinct(), "places")
     stars = stored(members.join(leads, "key").where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct(), "stars")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        ids = few(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    def texts_of(ids: DataFrame) -> DataFrame:
+        ids = few(ids.distinct())
         wanted = stored(places.join(ids, "id", "left_semi").groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted")), "wanted")
         texts = with_lists(rows, wanted, inner=True).withColumn("lines", F.split("text", "\n")).select(F.explode("wanted").alias("i"), "lines").select(F.get("lines", F.col("i")).alias("line"))
-        texts = stored(texts.select(F.xxhash64("line").alias("id"), "line").dropDuplicates(["id"]), "lines")
+        return texts.select(F.xxhash64("line").alias("id"), "line").dropDuplicates(["id"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        texts = stored(texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))), "lines")
         both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
         return stored(_close(both, edits), "links")
 
@@ -180,9 +200,12 @@ def dedup(docs: DataFrame, *, edits: int = 2) -> DataFrame:
     labelled = members.join(labels, "id", "left").select("key", "own", "id", F.coalesce("component", "id").alias("c"))
     mixed = labelled.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key", "c1")
     open_ = stored(labelled.join(mixed, "key"), "open")
-    x = open_.where("c <> c1").select("key", F.col("own").alias("ox"), F.col("id").alias("x"), F.col("c").alias("cx"))
-    y = open_.select("key", F.col("own").alias("oy"), F.col("id").alias("y"), F.col("c").alias("cy"))
-    rest = x.join(y, "key").where("cx <> cy AND (ox OR oy)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    marks = few(texts_of(open_.select("id")).select("id", _marks(F.col("line")).alias("m")))
+    open_ = open_.join(marks, "id")
+    x = open_.where("c <> c1").select("key", F.col("own").alias("ox"), F.col("id").alias("x"), F.col("c").alias("cx"), F.col("m").alias("mx"))
+    y = open_.select("key", F.col("own").alias("oy"), F.col("id").alias("y"), F.col("c").alias("cy"), F.col("m").alias("my"))
+    bits = sum((F.bit_count(F.col("mx")[i].bitwiseXOR(F.col("my")[i])) for i in range(4)), F.lit(0))
+    rest = x.join(y, "key").where(F.expr("cx <> cy AND (ox OR oy)") & (bits <= 4 * edits)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = stored(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         labels = stored(components(links.union(verified(rest))).toDF("id", "component"), "labels")
