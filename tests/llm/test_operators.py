@@ -127,6 +127,21 @@ class Sets:
         self.up[max(x, y)] = min(x, y)
 
 
+def test_line_marks(spark):
+    r = random.Random(3)
+    rows = []
+    for _ in range(400):
+        a = b = "".join(r.choice("abcé 😀") for _ in range(r.randint(0, 60)))
+        for _ in range(2):
+            i = r.randint(0, len(b))
+            b = b[:i] + r.choice(["", "x", "a"]) + b[i + r.choice([0, 1]) :]
+        rows.append((a, b))
+    m = spark.createDataFrame(rows, "a string, b string").select(line_dedup._marks(F.col("a")).alias("a"), line_dedup._marks(F.col("b")).alias("b")).collect()
+    bits = [sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(row.a, row.b, strict=True)) for row in m]
+    assert max(bits) <= 8
+    assert any(bits)
+
+
 def test_line_dedup(spark, empty):
     r = random.Random(9)
     base = ["".join(r.choice("abcde ") for _ in range(r.randint(20, 60))) for _ in range(8)]
