@@ -37,6 +37,8 @@ COMMON = 500_000
 FREQUENT = 48
 #: A set with more frequent tokens in its prefix indexes them one by one.
 WIDE = 24
+#: So many tokens before a token that is a key by itself are compared to leave a pair to an earlier key.
+NEAR = 8
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,9 +169,17 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
 
 
 def _twos(tokens: Column) -> Column:
-    """All combinations of two elements of a sorted array, as strings."""
-    rest = lambda i: F.slice(tokens, i + 2, F.size(tokens))
-    return F.flatten(F.transform(tokens, lambda x, i: F.transform(rest(i), lambda y: F.concat_ws(",", x.cast("string"), y.cast("string")))))
+    """All combinations of two elements of a sorted array: their key, and the other elements
+    before the second of them."""
+
+    def with_(x: Column, i: Column) -> Column:
+        def two(y: Column, j: Column) -> Column:
+            before = F.array_remove(F.slice(tokens, F.lit(1), i + j + 1), x)
+            return F.struct(F.concat_ws(",", x.cast("string"), y.cast("string")).alias("key"), before.alias("before"))
+
+        return F.transform(F.slice(tokens, i + 2, F.size(tokens)), two)
+
+    return F.flatten(F.transform(tokens, with_))
 
 
 def _may(x: str, y: str, percent: int) -> Column:
@@ -202,22 +212,31 @@ def _rest(members: DataFrame, labels: DataFrame, sketches: DataFrame, percent: i
     rows = _needed(lab.join(mixed_.select("token", "size"), "token"), percent)
     rows = stored(rows.join(sketches.select("id", "m"), "id"), "mixed")
     own = ["id", "n", "m", "c"]
-    single = rows.where(F.col("size") <= FREQUENT).select(F.col("token").cast("string").alias("key"), *own, F.lit(False).alias("wide"))
+    single = rows.where(F.col("size") <= FREQUENT).select(F.col("token").cast("string").alias("key"), *own, F.lit(False).alias("wide"), F.array().cast("array<long>").alias("before"))
     often = rows.where(F.col("size") > FREQUENT).groupBy(*own).agg(F.sort_array(F.collect_set("token")).alias("tokens"))
     wide = often.withColumn("wide", F.size("tokens") > WIDE)
-    alone = wide.select(F.explode(F.col("tokens").cast("array<string>")).alias("key"), *own, "wide")
-    twos = wide.where("NOT wide").select(F.explode(_twos(F.col("tokens"))).alias("key"), *own, "wide")
+    alone = wide.select("tokens", F.posexplode("tokens").alias("at", "token"), *own, "wide")
+    before = F.slice("tokens", F.greatest(F.lit(1), F.col("at") + 1 - NEAR), F.least(F.col("at"), F.lit(NEAR)))
+    alone = alone.select(F.col("token").cast("string").alias("key"), *own, "wide", before.alias("before"))
+    twos = wide.where("NOT wide").select(F.explode(_twos(F.col("tokens"))).alias("two"), *own, "wide").select("two.key", *own, "wide", "two.before")
     return _meet(single, percent).union(_meet(twos, percent)).union(_meet(alone, percent, wide=True)).distinct()
 
 
 def _meet(keyed: DataFrame, percent: int, *, wide: bool = False) -> DataFrame:
     """Pairs of different components under one key. One of the two is outside the key's smallest
-    component, so that a group that is nearly one component makes few pairs."""
+    component, so that a group that is nearly one component makes few pairs.
+
+    Two sets that also share a token ``before`` those of the key meet under a key with it as well,
+    so they are left to that one: a pair comes from its first common key, not from each of them.
+    """
     first = keyed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2")
     rows = keyed.join(first.select("key", "c1"), "key")
-    x = rows.where("c <> c1").select("key", *(F.col(c).alias(f"{c}x") for c in ("id", "n", "m", "c", "wide")))
-    y = rows.select("key", *(F.col(c).alias(f"{c}y") for c in ("id", "n", "m", "c", "wide")))
-    met = x.join(y, "key").where((F.col("cx") != F.col("cy")) & _may("x", "y", percent))
+    own = ("id", "n", "m", "c", "wide", "before")
+    x = rows.where("c <> c1").select("key", *(F.col(c).alias(f"{c}x") for c in own))
+    y = rows.select("key", "c1", *(F.col(c).alias(f"{c}y") for c in own))
+    # of two outside that component the one with the smaller id is x
+    once = (F.col("cy") == F.col("c1")) | (F.col("idx") < F.col("idy"))
+    met = x.join(y, "key").where((F.col("cx") != F.col("cy")) & once & _may("x", "y", percent) & ~F.arrays_overlap("beforex", "beforey"))
     if wide:
         met = met.where("widex OR widey")
     return met.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
