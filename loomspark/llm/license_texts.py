@@ -1,5 +1,10 @@
 """Public licence texts and the short notices that stand for a licence."""
 
+import re
+from pathlib import Path
+
+_WHOLE = Path(__file__).parent / "licenses_full"
+
 _MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -36,6 +41,20 @@ http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 
 
+def _whole(name: str) -> tuple[str, ...]:
+    """An entire text, and what is often passed on of it: the part up to the end of its terms, without
+    or with that heading, or the terms alone where a preface and a note enclose them."""
+    text = (_WHOLE / f"{name}.txt").read_text("utf-8")
+    out = [text]
+    if end := re.search(r"(?m)^ *END OF TERMS AND CONDITIONS *$", text):
+        out += [text[: end.end()], text[: end.start()]]
+    if name.startswith("CC-BY"):
+        out.append(re.split(r"(?m)^=+$", text)[2])
+    if name == "CC0-1.0":
+        out.append(text[text.index("Statement of Purpose") :])
+    return tuple(out)
+
+
 def _notices(*names: str) -> tuple[str, ...]:
     heads = ("Licensed under ", "Licensed under the ", "Released under ", "Released under the ", "Distributed under the ", "This work is licensed under ", "This work is licensed under the ", "License: ", "SPDX-License-Identifier: ")
     return tuple(h + n for n in names for h in heads)
@@ -48,15 +67,22 @@ KNOWN = {
     "ISC": (f"{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_ISC_TAIL}", *_notices("ISC License", "ISC")),
     "0BSD": (f"{_ISC_GRANT}.\n\n{_ISC_TAIL}", *_notices("0BSD")),
     "Zlib": (_ZLIB, "zlib License\n\n" + _ZLIB, *_notices("zlib License", "Zlib")),
-    "Apache-2.0": (_APACHE_NOTICE, *_notices("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0")),
-    "GPL-2.0": _notices("GNU General Public License, version 2", "GPL-2.0", "GPL-2.0-only"),
-    "GPL-3.0": _notices("GNU General Public License, version 3", "GPL-3.0", "GPL-3.0-only"),
-    "LGPL-3.0": _notices("GNU Lesser General Public License, version 3", "LGPL-3.0"),
+    "Apache-2.0": (_APACHE_NOTICE, *_whole("Apache-2.0"), *_notices("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0")),
+    "GPL-1.0": _whole("GPL-1.0"),
+    "GPL-2.0": (*_whole("GPL-2.0"), *_notices("GNU General Public License, version 2", "GPL-2.0", "GPL-2.0-only")),
+    "GPL-3.0": (*_whole("GPL-3.0"), *_notices("GNU General Public License, version 3", "GPL-3.0", "GPL-3.0-only")),
+    "LGPL-2.0": _whole("LGPL-2.0"),
+    "LGPL-2.1": _whole("LGPL-2.1"),
+    "LGPL-3.0": (*_whole("LGPL-3.0"), *_notices("GNU Lesser General Public License, version 3", "LGPL-3.0")),
     "AGPL-3.0": _notices("GNU Affero General Public License, version 3", "AGPL-3.0"),
-    "MPL-2.0": _notices("Mozilla Public License, version 2.0", "MPL-2.0"),
-    "CC0-1.0": _notices("CC0 1.0", "CC0-1.0"),
-    "CC-BY-4.0": _notices("CC BY 4.0", "CC-BY-4.0"),
-    "CC-BY-SA-4.0": _notices("CC BY-SA 4.0"),
+    "GFDL-1.2": _whole("GFDL-1.2"),
+    "GFDL-1.3": _whole("GFDL-1.3"),
+    "Artistic-1.0-Perl": _whole("Artistic-1.0-Perl"),
+    "MPL-1.1": _whole("MPL-1.1"),
+    "MPL-2.0": (*_whole("MPL-2.0"), *_notices("Mozilla Public License, version 2.0", "MPL-2.0")),
+    "CC0-1.0": (*_whole("CC0-1.0"), *_notices("CC0 1.0", "CC0-1.0")),
+    "CC-BY-4.0": (*_whole("CC-BY-4.0"), *_notices("CC BY 4.0", "CC-BY-4.0")),
+    "CC-BY-SA-4.0": (*_whole("CC-BY-SA-4.0"), *_notices("CC BY-SA 4.0")),
     "CC-BY-NC-4.0": _notices("CC BY-NC 4.0"),
     "CC-BY-ND-4.0": _notices("CC BY-ND 4.0"),
     "CC-BY-NC-SA-4.0": _notices("CC BY-NC-SA 4.0"),

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .license_texts import KNOWN
 
-#: A line that opens with a copyright statement, after any comment marks.
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9©\n]*(?:copyright[ \t]*(?:\(c\)|©|[0-9][0-9][0-9][0-9]|:|\[|<)|\(c\)[ \t]*[0-9][0-9][0-9][0-9]|©)[^\n]*"
+#: A line that opens with a copyright statement, after any comment marks; up to eight words may come before the year.
+COPYRIGHT_LINE = r"(^|\n)[^a-z0-9©\n]*(?:copyright[ \t]*(?:\(c\)|©|[0-9][0-9][0-9][0-9]|:|\[|<|[ \t](?:[^ \t\n]+[ \t]+){1,8}\(?[12][0-9][0-9][0-9])|\(c\)[ \t]*[0-9][0-9][0-9][0-9]|©)[^\n]*"
 RIGHTS = r"all rights reserved"
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
 #: Equivalent spellings, as whole words of the canonical form.

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -301,6 +302,15 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_whole_licenses(spark):
+    """The whole text of each id that has one, with other line breaks and a named copyright line."""
+    files = sorted(Path(licenses.__file__).parent.glob("licenses_full/*.txt"))
+    rows = [(i, "# Copyright Jane Q. Doe and others, 2019-2021.\n" + re.sub(r"(?<=[a-z,]) +(?=[a-z])", "   ", f.read_text("utf-8")).replace("\n", " \n  ")) for i, f in enumerate(files)]
+    rows.append((len(files), "Copyright The Foo Authors (2014)\n\n" + licenses.KNOWN["MIT"][0]))
+    got = {x.doc_id: x.license_id for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(files) >= 15 and got == dict(enumerate([*(f.stem for f in files), "MIT"]))
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(300, 16))
