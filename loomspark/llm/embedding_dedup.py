@@ -1,8 +1,9 @@
 """Embedding near-dedup by sharded small-world graphs (operator 7).
 
 Equal vectors become one class. The classes are dealt to shards by hash and every shard gets a
-hierarchical graph, whose beam is widened until an audit against brute force passes. Every vector is
-searched in every shard, in blocks; what is found is verified by cosine in double precision, and
+hierarchical graph, whose beam is widened until an audit against brute force passes; a shard whose audit
+fails at the widest beam is searched by brute force. Every vector is searched in every shard, in blocks;
+what is found is verified by cosine in double precision, and
 linked classes form components.
 """
 
@@ -18,13 +19,13 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .graph import components
-from .hnsw import Graph
+from .hnsw import SLACK, Graph
 
 #: Shards are this many at least, and more if a shard would have more vectors than this.
 SHARDS, SHARD_ROWS = 4, 200_000
 #: Vectors searched by one task.
 QUERY_ROWS = 8_192
-#: Vectors of a shard that are audited, and the share of their neighbours to be found.
+#: Vectors with neighbours that are audited of a shard at least, and the share of their neighbours to be found.
 AUDITED, RECALL = 512, 0.99
 
 
@@ -59,7 +60,7 @@ def _search(least: float):
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
         ids, unit, graph = pickle.loads(shards["graph"].iloc[0])
         own, q = queries["id"].to_numpy(), _unit(np.stack(queries["embedding"].to_numpy()))
-        a, b = graph.near(q.astype(np.float32), least - 1e-4, graph.beam)
+        a, b = graph.near(q.astype(np.float32), least - SLACK, graph.beam)
         keep = np.zeros(len(a), bool)
         for i in range(0, len(a), 1 << 16):
             s = slice(i, i + (1 << 16))
@@ -72,7 +73,7 @@ def _search(least: float):
 
 
 def index(classes: DataFrame, least: float) -> DataFrame:
-    """A row for each shard: its graph, beam and the recall that the audit measured. ``classes``: id,
+    """A row for each shard: its graph, beam and the recall that the audit measured (1 if it compares all). ``classes``: id,
     embedding, dim."""
     n = classes.count()
     shards = max(SHARDS, -(-n // SHARD_ROWS))

@@ -17,6 +17,11 @@ TOP = 64
 RATIO = 16
 #: Beam of insertions, and the first and the widest beam of searches.
 BUILD_BEAM, FIRST_BEAM, WIDEST_BEAM = 48, 32, 1 << 14
+#: Similarities in single precision are this far off at most.
+SLACK = 1e-4
+#: An audit goes on until its vectors stand for so many groups, a vector with p neighbours counting 1 / p;
+#: beyond the sample's size it leaves out vectors with more neighbours than the second number.
+GROUPS, FEW = 128, 256
 
 
 class Layer:
@@ -36,7 +41,7 @@ class Graph:
             sizes.append(sizes[-1] // RATIO)
         self.sizes = sizes  # layer l holds order[:sizes[l]]
         self.layers = [Layer(n) for _ in sizes]
-        self.beam = FIRST_BEAM
+        self.beam, self.exact = FIRST_BEAM, False
         for level in reversed(range(len(sizes))):
             done = min(TOP, n)
             start = self.order[:done]
@@ -140,9 +145,16 @@ class Graph:
         layer.links[to[fits], place[fits]] = source[fits]
         layer.degree[target] = np.minimum(layer.degree[target] + count, ROOM)
 
+    def _all(self, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (query, node) with similarity ``least`` or more, by comparing blocks of queries with every node."""
+        hits = [np.nonzero(q[i : i + BLOCK] @ self.x.T >= least) for i in range(0, len(q), BLOCK)]
+        return np.concatenate([a + i * BLOCK for i, (a, _) in enumerate(hits)]), np.concatenate([b for _, b in hits])
+
     def near(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, node) with similarity ``least`` or more; where all of a beam is that near, the
-        query is searched again with a wider one."""
+        query is searched again with a wider one. A graph that failed its audit compares all."""
+        if self.exact:
+            return self._all(q, least)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         left = np.arange(len(q))
         while len(left):
@@ -158,13 +170,48 @@ class Graph:
             left, beam = np.concatenate(again), beam * 4
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
+    def _sample(self, least: float, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors that have neighbours, in a random order, and all pairs (place in it, node) of them and their
+        neighbours: ``sample`` vectors and as many more as GROUPS asks for, or all that the shard has."""
+        order = np.random.default_rng(2).permutation(len(self.x))
+        picks, places, nodes, n, groups = [], [], [], 0, 0.0
+        for i in range(0, len(order), BLOCK):
+            part = order[i : i + BLOCK]
+            a, b = self._all(self.x[part], least)
+            a, b = a[part[a] != b], b[part[a] != b]  # a vector is no neighbour of itself
+            count = np.bincount(a, minlength=len(part))
+            take = (count > 0) & ((count <= FEW) | (n + np.cumsum(count > 0) <= sample))
+            place = n + np.cumsum(take) - 1
+            picks.append(part[take])
+            places.append(place[a[take[a]]].astype(np.int32))
+            nodes.append(b[take[a]].astype(np.int32))
+            n += int(take.sum())
+            groups += float((1 / count[take]).sum())
+            if n >= sample and groups >= GROUPS:
+                break
+        return np.concatenate(picks), np.concatenate(places), np.concatenate(nodes)
+
     def audit(self, least: float, recall: float, sample: int) -> float:
-        """Widen the beam until the graph finds the share ``recall`` of the true neighbours of a sample."""
-        pick = self.order[:: max(1, len(self.order) // sample)][:sample]
-        true = np.concatenate([(self.x[pick[i : i + BLOCK]] @ self.x.T >= least) for i in range(0, len(pick), BLOCK)])
+        """Widen the beam until the graph finds the share ``recall`` of the true neighbours of a sample's vector,
+        averaged both over its vectors and over the groups they stand for, so that no large group hides what is
+        missed beside it. If the widest beam doesn't, searches compare all from then on."""
+        pick, places, nodes = self._sample(least, sample)
+        if not len(pick):
+            return 1.0
+        n, true = len(self.x), np.bincount(places, minlength=len(pick))
+        start = np.concatenate([[0], np.cumsum(true)])
         while True:
-            a, b = self.near(self.x[pick], least, self.beam)
-            got = true[a, b].sum() / max(1, true.sum())
-            if got >= recall or self.beam >= WIDEST_BEAM or self.beam >= len(self.x):
+            share = np.zeros(len(pick))
+            for i in range(0, len(pick), BLOCK):
+                part = pick[i : i + BLOCK]
+                found = np.zeros((len(part), n), bool)
+                found[self.near(self.x[part], least - SLACK, self.beam)] = True
+                own = slice(start[i], start[i + len(part)])
+                share[i : i + BLOCK] = np.bincount(places[own] - i, found[places[own] - i, nodes[own]], len(part)) / true[i : i + BLOCK]
+            got = min(share.mean(), np.average(share, weights=1 / true))
+            if got >= recall:
                 return float(got)
+            if self.beam >= min(WIDEST_BEAM, n):
+                self.exact = True
+                return 1.0
             self.beam *= 2

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomspark.llm import embedding_dedup, graph, jaccard, licenses, line_dedup, mixing, nbsvm, packing, quality_rules, queries, substrings, token_files
+from loomspark.llm import embedding_dedup, graph, hnsw, jaccard, licenses, line_dedup, mixing, nbsvm, packing, quality_rules, queries, substrings, token_files
 from loomspark.llm.tokens import Encoder, default_tokenizer
 from loomspark.session import scratch
 
@@ -331,6 +331,31 @@ def test_embeddings(spark):
     assert embedding_dedup.dedup(df.where("false")).count() == 0
 
 
+def shard_of(groups):
+    r = np.random.default_rng(4)
+    x = np.concatenate([c + 0.02 * r.normal(size=(n, 16)) for n in groups for c in [r.normal(size=16)]])
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+@pytest.mark.parametrize("groups", [[1] * 1500 + [2] * 60, [800] + [1] * 500 + [2] * 60])
+def test_embedding_audit(groups):
+    """Lost links of pairs fail the audit, be they few beside single vectors or beside one large group."""
+    x = shard_of(groups)
+    g = hnsw.Graph(x)
+    alone = np.arange(len(x) - 120, len(x))
+    g.near = lambda q, least, beam, near=g.near: near(q, least, beam) if getattr(g, "exact", False) else lossy(near(q, least, beam), q)
+
+    def lossy(found, q):  # every fifth link of a pair is not found
+        a, b = found
+        own = np.argmax(q @ x.T, 1)[a]
+        keep = (own == b) | ~np.isin(b, alone) | (b % 5 > 0)
+        return a[keep], b[keep]
+
+    g.audit(0.95, 0.99, 512)
+    a, b = g.near(x, 0.95, g.beam)
+    assert set(zip(a.tolist(), b.tolist())) == set(zip(*(v.tolist() for v in np.nonzero(x @ x.T >= 0.95))))
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
