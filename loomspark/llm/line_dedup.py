@@ -1,9 +1,10 @@
 """Line dedup by a segment-partition edit join (operator 2, DataFrame functions only).
 
-Equal lines are merged first. A line of n characters is then split into ``edits + 1`` segments; a
-line within ``edits`` edits of it has one of them unchanged, at a place that the two lengths bound.
-So each line is indexed by its segments, and probes the indexes of its own length and of each length
-shorter by up to ``edits`` with its substrings at those places. Lines that meet are verified by
+Equal lines are merged first. The edits that a pair may have depend on the length of its shorter line:
+one for each ten characters, up to ``edits``. A line of n characters that may have k edits is split into
+k + 1 segments; a line of that or more characters within k edits of it has one of them unchanged, at a
+place that the two lengths bound. So each line is indexed by its segments, and probes the indexes of its
+own length and of each length shorter by up to k with its substrings at those places. Lines that meet are verified by
 banded bit-parallel edit distance, and linked lines form classes of which the first line stays.
 
 A group of lines under one segment is first verified against one of them, which settles groups of
@@ -20,8 +21,11 @@ from ..session import stored
 from .bounded import few, with_lists
 from .graph import components
 
-#: Lines shorter than this are merged only if they are equal.
-SHORTEST = 24
+#: So many characters allow one edit; lines with fewer are merged only if they are equal, as one edit in
+#: them often makes another word or number.
+AN_EDIT = 10
+#: Lines of so many characters may have the two edits that are the default.
+SHORTEST = 2 * AN_EDIT
 
 
 def _long(value: int) -> Column:
@@ -33,6 +37,11 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def allowed(n: Column, edits: int) -> Column:
+    """The edits between two lines of which the shorter has ``n`` characters."""
+    return F.least(F.lit(edits), (n / AN_EDIT).cast("int"))
+
+
 def _common_prefix(a: Column, b: Column) -> Column:
     """A length of common prefix, the full one below 128 K characters; found by halving steps."""
     steps = F.array(*(F.lit(1 << e) for e in range(16, -1, -1)))
@@ -95,9 +104,10 @@ def _cut(x: Column, y: Column, body) -> Column:
     return _let(rest, lambda r: body(r["x"], r["y"]))
 
 
-def _close(pairs: DataFrame, edits: int) -> DataFrame:
-    """Pairs (a, b) whose texts ta and tb are within ``edits``; what they share at both ends is
-    cut off first, which changes no distance."""
+def _close(pairs: DataFrame, edits: int, most: Column | None = None) -> DataFrame:
+    """Pairs (a, b) whose texts ta and tb are within ``most`` edits, a column of ``edits`` at most and
+    ``edits`` by default; what they share at both ends is cut off first, which changes no distance."""
+    most = F.lit(edits) if most is None else most
     a, b = F.col("ta"), F.col("tb")
     ordered = F.when(F.length(a) < F.length(b), F.struct(b.alias("x"), a.alias("y"))).otherwise(F.struct(a.alias("x"), b.alias("y")))
 
@@ -105,7 +115,7 @@ def _close(pairs: DataFrame, edits: int) -> DataFrame:
         return _let(F.struct(F.reverse(x).alias("x"), F.reverse(y).alias("y")), lambda r: _cut(r["x"], r["y"], lambda u, v: edit_distance(u, v, edits)))
 
     distance = _let(ordered, lambda r: _cut(r["x"], r["y"], inner))
-    return pairs.where((F.abs(F.length(a) - F.length(b)) <= edits) & (distance <= edits)).select("a", "b")
+    return pairs.where((F.abs(F.length(a) - F.length(b)) <= most) & (distance <= most)).select("a", "b")
 
 
 def _marks(line: Column) -> Column:
@@ -127,15 +137,17 @@ def _marks(line: Column) -> Column:
 def _keyed(lines: DataFrame, edits: int) -> DataFrame:
     """``lines`` (line, ...) with (key, own) of each: the segments of a line, and its substrings
     where a segment of a line of its length or a shorter one may be. ``own`` marks the segments."""
-    parts = edits + 1
     others = [c for c in lines.columns if c != "line"]
     # the lengths are columns of their own, so that each is computed once for a line
     sized = lines.withColumn("n", F.length("line"))
-    sized = sized.withColumns({f"size{less}": ((F.col("n") - less) / parts).cast("int") for less in range(parts)})
-    sized = sized.withColumns({f"longer{less}": F.col("n") - less - F.col(f"size{less}") * parts for less in range(parts)})
+    cells = [(k, less) for k in range(1, max(1, edits) + 1) for less in range(k + 1)]  # edits of the indexed line, characters it has less
+    sized = sized.withColumns({f"size{k}_{less}": ((F.col("n") - less) / (k + 1)).cast("int") for k, less in cells})
+    sized = sized.withColumns({f"longer{k}_{less}": F.col("n") - less - F.col(f"size{k}_{less}") * (k + 1) for k, less in cells})
     out = []
-    for less in range(edits + 1):
-        of, size, longer = F.col("n") - less, F.col(f"size{less}"), F.col(f"longer{less}")  # of the indexed line; so many of its last segments have one character more
+    for k, less in cells:
+        parts = k + 1
+        of, size, longer = F.col("n") - less, F.col(f"size{k}_{less}"), F.col(f"longer{k}_{less}")  # of the indexed line; so many of its last segments have one character more
+        here = (of >= k * AN_EDIT) & (F.lit(True) if k == edits else of < (k + 1) * AN_EDIT)
         for i in range(1, parts + 1):
             at = F.lit(1) + size * (i - 1) + F.greatest(F.lit(0), F.lit(i - 1 - parts) + longer)
             length = size + F.when(F.lit(parts - i) < longer, 1).otherwise(0)
@@ -143,7 +155,7 @@ def _keyed(lines: DataFrame, edits: int) -> DataFrame:
             high = min(i - 1, less + (parts - i))
             for move in range(low, high + 1):
                 key = F.xxhash64(of, F.lit(i), F.substr("line", at + move, length))
-                fits = (of >= SHORTEST) & (at + move >= 1) & (at + move + length - 1 <= F.col("n"))
+                fits = here & (at + move >= 1) & (at + move + length - 1 <= F.col("n"))
                 out.append(F.when(fits, F.struct(key.alias("key"), F.lit(less == 0 and move == 0).alias("own"))))
     return sized.select(*others, F.explode(F.array(*out)).alias("k")).where("k IS NOT NULL").select("k.key", "k.own", *others)
 
@@ -156,8 +168,8 @@ def dedup(docs: DataFrame, *, edits: int = 2) -> DataFrame:
     """``docs`` (doc_id, text, ...) with repeated lines taken out of ``text``.
 
     Lines are parted by line feeds; those of white space alone are kept. Two lines link if they are
-    equal, or have ``SHORTEST`` characters or more and at most ``edits`` edits (insert, delete,
-    substitute a code point) between them; of the lines that are linked, directly or over others,
+    equal, or have at most as many edits (insert, delete, substitute a code point) between them as the
+    shorter allows: one from 10 characters, two from 20, and so on up to ``edits``; of the lines that are linked, directly or over others,
     only the first by (doc_id, line number) stays. ``n_lines`` and ``n_removed`` are added (columns
     of these names are replaced); the other columns stay. A null text stays null with 0 lines. Rows
     that share a doc_id are one document: a line does not repeat the line of that number in another
@@ -174,7 +186,7 @@ def dedup(docs: DataFrame, *, edits: int = 2) -> DataFrame:
 
     # each different line once
     once = with_lists(rows, equal).select("doc_id", "gone", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    once = once.where(F.coalesce(~F.array_contains("gone", F.col("line_no")), F.lit(True)) & (F.length("line") >= SHORTEST) & (F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != ""))
+    once = once.where(F.coalesce(~F.array_contains("gone", F.col("line_no")), F.lit(True)) & (F.length("line") >= AN_EDIT) & (F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != ""))
     keyed = stored(_keyed(once.select("doc_id", "line_no", F.xxhash64("line").alias("id"), "line"), edits), "keys")
     groups = keyed.groupBy("key").agg(F.max("own").alias("own"), F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z AND own").select("key")
     members = stored(keyed.join(few(groups), "key"), "members")
@@ -193,19 +205,20 @@ def dedup(docs: DataFrame, *, edits: int = 2) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         texts = stored(texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))), "lines")
         both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-        return stored(_close(both, edits), "links")
+        return stored(_close(both, edits, allowed(F.least(F.length("ta"), F.length("tb")), edits)), "links")
 
     links = verified(stars)
     labels = stored(components(links).toDF("id", "component"), "labels")
     labelled = members.join(labels, "id", "left").select("key", "own", "id", F.coalesce("component", "id").alias("c"))
     mixed = labelled.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key", "c1")
     open_ = stored(labelled.join(mixed, "key"), "open")
-    marks = few(texts_of(open_.select("id")).select("id", _marks(F.col("line")).alias("m")))
+    marks = few(texts_of(open_.select("id")).select("id", F.length("line").alias("n"), _marks(F.col("line")).alias("m")))
     open_ = open_.join(marks, "id")
-    x = open_.where("c <> c1").select("key", F.col("own").alias("ox"), F.col("id").alias("x"), F.col("c").alias("cx"), F.col("m").alias("mx"))
-    y = open_.select("key", F.col("own").alias("oy"), F.col("id").alias("y"), F.col("c").alias("cy"), F.col("m").alias("my"))
+    x = open_.where("c <> c1").select("key", F.col("own").alias("ox"), F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("m").alias("mx"))
+    y = open_.select("key", F.col("own").alias("oy"), F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("m").alias("my"))
     bits = sum((F.bit_count(F.col("mx")[i].bitwiseXOR(F.col("my")[i])) for i in range(4)), F.lit(0))
-    rest = x.join(y, "key").where(F.expr("cx <> cy AND (ox OR oy)") & (bits <= 4 * edits)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    most = allowed(F.least("nx", "ny"), edits)
+    rest = x.join(y, "key").where(F.expr("cx <> cy AND (ox OR oy)") & (F.abs(F.col("nx") - F.col("ny")) <= most) & (bits <= 4 * most)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = stored(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         labels = stored(components(links.union(verified(rest))).toDF("id", "component"), "labels")

@@ -169,6 +169,22 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
+def test_short_lines(spark):
+    """Lines of 6 to 26 characters against brute force: one edit for each ten characters of the shorter, two at most."""
+    r = random.Random(6)
+    base = ["".join(r.choice("abcde fgh") for _ in range(n)) for n in range(6, 27) for _ in range(3)]
+    lines = sorted({x for s in base for x in [s, *(edited(r, s) for _ in range(4))] if x.strip(" ")} | {"Subscribe to our list!", "Subscribe to our list", "Read it all!", "Read it all"})
+    sets = Sets(lines)
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            most = min(2, min(len(a), len(b)) // 10)
+            if abs(len(a) - len(b)) <= most and distance(a, b) <= most:
+                sets.join(a, b)
+    got = line_dedup.dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("n_removed = 0").collect()
+    assert {x.text for x in got} == {x for x in lines if sets.root(x) == x}
+    assert sets.root("Read it all!") == "Read it all"
+
+
 def test_jaccard(spark, docs, empty):
     sets = {}
     for d, text, *_ in made():
