@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-#: Means above this are refused; the table of a distribution has a few times as many entries.
+#: Sources with means up to this have a table of their distribution; with larger ones it is summed for each row.
 MOST = 10_000
+#: A row's terms and copies are listed in blocks of so many.
+BLOCK = 10_000
 #: Sources up to this many are broadcast (some tens of MB); more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -25,9 +27,14 @@ def hashed(*parts: Column | str, digits: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
 
 
+def _last(mean: Column) -> Column:
+    """The last term that is summed: as far as doubles tell the distribution from 1."""
+    return F.ceil(mean + 12 * F.sqrt(mean) + 30)
+
+
 def poisson_table(mean: Column) -> Column:
     """P(X <= 0), P(X <= 1), ... of a Poisson distribution, as far as doubles tell it from 1."""
-    last = F.ceil(mean + 12 * F.sqrt(mean) + 30).cast("int")
+    last = _last(mean).cast("int")
     start = F.struct((-mean).alias("lp"), F.exp(-mean).alias("c"), F.array(F.exp(-mean)).alias("cdf"))
 
     def step(s: Column, k: Column) -> Column:
@@ -38,8 +45,27 @@ def poisson_table(mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step)["cdf"]
 
 
+def _blocks(last: Column, body, start: Column) -> Column:
+    """Aggregates body(state, k) over k = 1 ... last, without a list of all k."""
+    at = F.sequence(F.lit(0).cast("long"), F.floor((last - 1) / BLOCK))
+    return F.aggregate(at, start, lambda s, b: F.aggregate(F.sequence(b * BLOCK + 1, F.least((b + 1) * BLOCK, last)), s, body))
+
+
+def poisson_inverse(mean: Column, uniform: Column) -> Column:
+    """How many of P(X <= 0), P(X <= 1), ... are below ``uniform``; the same as by a table, with work
+    in proportion to the mean, as the copies have, and no list of that length."""
+    start = F.struct((-mean).alias("lp"), F.exp(-mean).alias("c"), F.when(F.exp(-mean) < uniform, 1).otherwise(0).cast("long").alias("n"))
+
+    def step(s: Column, k: Column) -> Column:
+        lp = s["lp"] + F.log(mean / k)
+        c = s["c"] + F.exp(lp)
+        return F.struct(lp.alias("lp"), c.alias("c"), (s["n"] + F.when(c < uniform, 1).otherwise(0)).alias("n"))
+
+    return _blocks(_last(mean), step, start)["n"].cast("int")
+
+
 def source_rates(docs: DataFrame, weights: dict[str, float] | None, power: float, epochs: float) -> DataFrame:
-    """A row for each source: its mass (characters plus one a document), rate and Poisson table."""
+    """A row for each source: its rate and, up to a rate of MOST, its Poisson table (null beyond)."""
     source = F.coalesce("source", F.lit("")).alias("__source")
     mass = (F.coalesce(F.length("text"), F.lit(0)) + 1).cast("long")
     # a few rows for each task reach the shuffle, however many rows a source has
@@ -58,8 +84,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, power: float
         total = weighted.agg(F.sum("mass").alias("total"), F.sum(rest).alias("rests"))
         rated = weighted.crossJoin(F.broadcast(total)).withColumn("weight", F.coalesce("named", F.lit(max(0.0, left)) * F.col("mass") / F.col("rests")))
     rate = F.lit(float(epochs)) * F.col("weight") * F.col("total") / F.col("mass")
-    checked = F.when(rate <= MOST, rate).otherwise(F.raise_error(F.lit(f"a mean rate above {MOST}")).cast("double"))
-    return stored(rated.select("__source", checked.alias("__rate")).withColumn("__cdf", poisson_table(F.col("__rate"))), "rates")
+    return stored(rated.select("__source", rate.alias("__rate")).withColumn("__cdf", F.when(F.col("__rate") <= MOST, poisson_table(F.col("__rate")))), "rates")
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, *, power: float = 0.5, epochs: float = 1.0, seed: int = 17) -> DataFrame:
@@ -78,9 +103,11 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, *, power: fl
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     uniform = (hashed(str(seed), F.col("doc_id"), digits=13) + F.lit(0.5)) / F.lit(float(1 << 52))
-    n = F.size(F.filter("__cdf", lambda c: c < uniform))
+    n = F.when(F.col("__cdf").isNotNull(), F.size(F.filter("__cdf", lambda c: c < uniform))).otherwise(poisson_inverse(F.col("__rate"), uniform))
     counted = docs.withColumn("__source", F.coalesce("source", F.lit(""))).join(rates, "__source").withColumn("n_copies", n).where("n_copies > 0")
-    copies = counted.select(*docs.columns, "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
+    blocks = counted.select(*docs.columns, "n_copies", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_copies") - 1) / BLOCK).cast("int"))).alias("__block"))
+    block = F.sequence(F.col("__block") * BLOCK + 1, F.least((F.col("__block") + 1) * BLOCK, F.col("n_copies")))
+    copies = blocks.select(*docs.columns, "n_copies", F.explode(block).alias("copy"))
     keyed = copies.withColumn("shuffle_key", hashed(str(seed), F.col("doc_id"), F.col("copy"), digits=15))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return keyed.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")

@@ -264,6 +264,23 @@ def test_mixing(spark, docs, empty):
     assert np.allclose(c[:5], np.cumsum([math.exp(-3) * 3**k / math.factorial(k) for k in range(5)]))
 
 
+def test_mixing_large_mean(spark):
+    """A source of little text in a large table: its mean is above what a table of the distribution holds."""
+    rows = [(1, "x" * 60_000, "a"), (2, None, None), (3, "", "b")]
+    got = {(r.doc_id, r.n_copies): r for r in mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"": 0.4, "b": 0.05}).groupBy("doc_id", "n_copies").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("d"), F.min("copy").alias("low"), F.max("copy").alias("high")).collect()}
+    for d, w in ((2, 0.4), (3, 0.05)):
+        mean = w * 60_003
+        u = (int(hashlib.md5(f"17:{d}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        k, lp, c = 0, -mean, math.exp(-mean)
+        while c < u:
+            k += 1
+            lp += math.log(mean / k)
+            c += math.exp(lp)
+        r = got[d, k]
+        assert (r.n, r.d, r.low, r.high) == (k, k, 1, k)
+    assert mixing.MOST < 0.4 * 60_003
+
+
 def ids_of(text):
     return [*Encoder.of(default_tokenizer()).tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
 
