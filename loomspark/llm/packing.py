@@ -58,8 +58,8 @@ def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple
 def _pieces(tokenizer: str, end_id: int, most: int, shards: int) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = Encoder.of(tokenizer), {}
-        for batch, _, _ in chunks(batches):
-            ids, sizes = encoder.encode(batch.column("text").to_pylist())
+        for batch, data, offsets in chunks(batches):
+            ids, sizes = encoder.encode(data, offsets)
             ids = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4")
             sizes = sizes + 1
             base = np.cumsum(sizes) - sizes

@@ -33,7 +33,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, width: int) -> Callable:
         encoder, out = Encoder.of(tokenizer), None
         n_docs = n_tokens = 0
         first = None
-        for batch, _, _ in chunks(batches):
+        for batch, data, offsets in chunks(batches):
             if out is None:
                 # a retried or speculative task writes other files; only the manifest counts
                 name = f"part-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}"
@@ -42,7 +42,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, width: int) -> Callable:
                 out = {k: where.open_output_stream(f"{path}.{k}") for k in ("bin", "off", "doc")}
                 out["off"].write(np.zeros(1, "<u8").tobytes())
                 first = batch.column("doc_id")[0].as_py()
-            ids, sizes = encoder.encode(batch.column("text").to_pylist())
+            ids, sizes = encoder.encode(data, offsets)
             ends = np.cumsum(sizes)
             ids = np.insert(ids, ends, end_id)
             if width == 2 and len(ids) and ids.max() > 0xFFFF:
