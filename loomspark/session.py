@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not context.getCheckpointDir():
@@ -60,7 +60,16 @@ def stored(df: DataFrame, kind: str = "stored") -> DataFrame:
     """
     path = scratch(df.sparkSession, kind)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once everything made of it has been written itself."""
+    for df in tables:
+        if path := getattr(df, "stored_at", None):
+            discard(df.sparkSession, path)
 
 
 def discard(spark: SparkSession, path: str) -> None:
