@@ -7,23 +7,37 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-#: Ids up to this many are broadcast (some tens of MB); more are joined by a shuffle.
-IDS = 2_000_000
-#: Bytes of lists that are broadcast; more are joined by a shuffle.
-LIST_BYTES = 64 << 20
+#: Bytes that one broadcast may hold, as its rows count in memory; more are joined by a shuffle.
+MOST_BYTES = 64 << 20
+#: What a row takes beside its columns there.
+ROW_BYTES = 16
 
 
-def few(df: DataFrame, limit: int = IDS) -> DataFrame:
-    """``df``, which has narrow rows, written once and hinted to be broadcast if it has few."""
-    df = stored(df, "ids")
-    return F.broadcast(df) if df.count() <= limit else df
+def few(df: DataFrame, *, width: int = 0) -> DataFrame:
+    """``df`` written once and hinted to be broadcast if it is small: its rows are counted, and each
+    has 8 bytes a column and ``width`` more for what its columns hold beside that."""
+    df = df if hasattr(df, "stored_at") else stored(df, "few")
+    if df.count() * (ROW_BYTES + 8 * len(df.columns) + width) > MOST_BYTES:
+        return df
+    out = F.broadcast(df)
+    out.stored_at = df.stored_at
+    return out
 
 
 def with_lists(docs: DataFrame, lists: DataFrame, *, inner: bool = False) -> DataFrame:
     """``docs`` with the array columns of ``lists``, which has a row for each doc_id at most."""
     arrays = [c for c in lists.columns if c != "doc_id"]
     size = lists.agg(F.sum(F.lit(64) + sum(F.lit(8) * F.greatest(F.size(c), F.lit(0)) for c in arrays))).first()[0] or 0
-    if size <= LIST_BYTES:
+    if size <= MOST_BYTES:
         lists = F.broadcast(lists)
-    joined = docs.join(lists.withColumnRenamed("doc_id", "__doc"), F.col("doc_id").eqNullSafe(F.col("__doc")), "inner" if inner else "left")
-    return joined.drop("__doc")
+    own = unused(docs, "own")
+    joined = docs.join(lists.withColumnRenamed("doc_id", own), F.col("doc_id").eqNullSafe(F.col(own)), "inner" if inner else "left")
+    return joined.drop(own)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name`` behind as many underscores as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -17,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
-from .bounded import few, with_lists
+from ..session import forget, stored
+from .bounded import few, unused, with_lists
 from .graph import components
 
 #: So many characters allow one edit; lines with fewer are merged only if they are equal, as one edit in
@@ -126,12 +126,12 @@ def _marks(line: Column) -> Column:
     def pairs(chars: Column) -> Column:
         return F.transform(chars, lambda c, i: F.pmod(F.xxhash64(c, F.get(chars, i + 1)), F.lit(256)).cast("int"))
 
-    def flip(marks: Column, g: Column) -> Column:
-        bit = F.call_function("shiftleft", one, g % 64)
-        return F.transform(marks, lambda m, i: F.when(i == (g / 64).cast("int"), m.bitwiseXOR(bit)).otherwise(m))
+    def word(grams: Column, w: int) -> Column:
+        mine = F.filter(grams, lambda g: F.shiftright(g, 6) == w)
+        return F.aggregate(mine, _long(0), lambda m, g: m.bitwiseXOR(F.call_function("shiftleft", one, g.bitwiseAND(63))))
 
     grams = _let(F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0)), pairs)
-    return F.aggregate(grams, F.array(*(_long(0) for _ in range(4))), flip)
+    return _let(grams, lambda g: F.array(*(word(g, w) for w in range(4))))
 
 
 def _keyed(lines: DataFrame, edits: int) -> DataFrame:
@@ -139,11 +139,11 @@ def _keyed(lines: DataFrame, edits: int) -> DataFrame:
     where a segment of a line of its length or a shorter one may be. ``own`` marks the segments."""
     others = [c for c in lines.columns if c != "line"]
     # the lengths are columns of their own, so that each is computed once for a line
-    sized = lines.withColumn("n", F.length("line"))
+    sized = lines.withColumn("n", F.length("line")).withColumn("plain", F.octet_length("line") == F.col("n"))
     cells = [(k, less) for k in range(1, max(1, edits) + 1) for less in range(k + 1)]  # edits of the indexed line, characters it has less
     sized = sized.withColumns({f"size{k}_{less}": ((F.col("n") - less) / (k + 1)).cast("int") for k, less in cells})
     sized = sized.withColumns({f"longer{k}_{less}": F.col("n") - less - F.col(f"size{k}_{less}") * (k + 1) for k, less in cells})
-    out = []
+    segments, probes = {}, {}
     for k, less in cells:
         parts = k + 1
         of, size, longer = F.col("n") - less, F.col(f"size{k}_{less}"), F.col(f"longer{k}_{less}")  # of the indexed line; so many of its last segments have one character more
@@ -154,16 +154,32 @@ def _keyed(lines: DataFrame, edits: int) -> DataFrame:
             low = max(-(i - 1), less - (parts - i))
             high = min(i - 1, less + (parts - i))
             for move in range(low, high + 1):
-                key = F.xxhash64(of, F.lit(i), F.substr("line", at + move, length))
+                # where all characters are single bytes, a substring of bytes needs no walk from the line's start
+                part = F.when(F.col("plain"), F.substr(F.col("line").cast("binary"), at + move, length)).otherwise(F.substr("line", at + move, length).cast("binary"))
                 fits = here & (at + move >= 1) & (at + move + length - 1 <= F.col("n"))
-                out.append(F.when(fits, F.struct(key.alias("key"), F.lit(less == 0 and move == 0).alias("own"))))
-    return sized.select(*others, F.explode(F.array(*out)).alias("k")).where("k IS NOT NULL").select("k.key", "k.own", *others)
+                (segments if less == move == 0 else probes)[k, less, i, move] = F.when(fits, F.xxhash64(of, F.lit(i), part))
+    # long lines have the keys of the most edits alone
+    def long_(x: dict) -> list[Column]:
+        return [v for (k, *_), v in x.items() if k == edits]
+
+    long_line = F.col("n") >= edits * (AN_EDIT + 1)
+    first, first_long = list(segments.values()), long_(segments)
+    keys = F.when(long_line, F.array(*first_long, *long_(probes))).otherwise(F.array(*first, *probes.values()))
+    out = sized.select(*others, F.when(long_line, len(first_long)).otherwise(len(first)).alias("firsts"), F.posexplode(keys).alias("at", "key"))
+    return out.where("key IS NOT NULL").select("key", (F.col("at") < F.col("firsts")).alias("own"), *others)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != "")
 
 
+def _kept(lines: Column, gone: Column, body) -> Column:
+    """body(number, line) of each of ``lines`` whose number isn't in ``gone`` (null: none is)."""
+    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
+    left = F.when(gone.isNull(), numbers).otherwise(F.array_except(numbers, gone))
+    return F.transform(left, lambda i: body(i, F.get(lines, i)))
+
+
 def dedup(docs: DataFrame, *, edits: int = 2) -> DataFrame:
     """``docs`` (doc_id, text, ...) with repeated lines taken out of ``text``.
 
@@ -173,23 +189,32 @@ def dedup(docs: DataFrame, *, edits: int = 2) -> DataFrame:
     only the first by (doc_id, line number) stays. ``n_lines`` and ``n_removed`` are added (columns
     of these names are replaced); the other columns stay. A null text stays null with 0 lines. Rows
     that share a doc_id are one document: a line does not repeat the line of that number in another
-    such row. A null doc_id comes before all others.
+    such row. A null doc_id comes before all others. Repeated rows are such rows, so they lose the same
+    lines. An empty table gives no rows.
     """
     docs = docs.drop("n_lines", "n_removed")
     rows = docs.select("doc_id", "text")
     # equal lines; a hot line is combined before the shuffle
     hashed = _lines(rows).select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2"))
-    ref = F.struct("doc_id", "line_no")
-    firsts = hashed.groupBy("h1", "h2").agg(F.min(ref).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
-    equal = hashed.join(few(firsts), ["h1", "h2"]).where(ref != F.col("first"))
+    repeated = hashed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("d"), F.max(F.col("doc_id").isNull()).alias("none")).where("n > 1").select("h1", "h2", F.when(~F.col("none"), F.col("d")).alias("d"))
+    places_of = stored(hashed.join(few(repeated), ["h1", "h2"]), "repeated")
+    in_first = F.col("doc_id").eqNullSafe(F.col("d"))
+    firsts = few(places_of.where(in_first).groupBy("h1", "h2").agg(F.min("line_no").alias("l")))
+    equal = places_of.join(firsts, ["h1", "h2"]).where(~(in_first & (F.col("line_no") == F.col("l"))))
     equal = stored(equal.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")), "equal")
+    forget(places_of)
+    ref = F.struct("doc_id", "line_no")
 
     # each different line once
-    once = with_lists(rows, equal).select("doc_id", "gone", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    once = once.where(F.coalesce(~F.array_contains("gone", F.col("line_no")), F.lit(True)) & (F.length("line") >= AN_EDIT) & (F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != ""))
-    keyed = stored(_keyed(once.select("doc_id", "line_no", F.xxhash64("line").alias("id"), "line"), edits), "keys")
-    groups = keyed.groupBy("key").agg(F.max("own").alias("own"), F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z AND own").select("key")
-    members = stored(keyed.join(few(groups), "key"), "members")
+    numbered = _let(F.split("text", "\n"), lambda lines: _kept(lines, F.col("gone"), lambda i, line: F.struct(i.alias("line_no"), line.alias("line"))))
+    once = with_lists(rows, equal).select("doc_id", F.explode(numbered).alias("x")).select("doc_id", "x.line_no", "x.line")
+    once = once.where((F.length("line") >= AN_EDIT) & (F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != ""))
+    # keys are dealt once for both of their uses; most are in one line only
+    keyed = _keyed(once.select("doc_id", "line_no", F.xxhash64("line").alias("id"), "line"), edits).repartition("key")
+    groups = keyed.groupBy("key").agg(F.max("own").alias("own"), F.min("id").alias("a"), F.max("id").alias("z"), F.max("line_no").alias("l"), F.max(F.coalesce("doc_id", F.lit(0))).alias("d"))
+    used = (F.col("l") >= 0) & (F.col("d") >= _long(-(1 << 63)))  # always so; both uses are of one exchange if they read the same columns
+    groups = groups.where(F.expr("a <> z AND own") & used).select("key").hint("shuffle_hash")
+    members = stored(keyed.join(groups, "key"), "members")
     # the line that meets others under the most keys is the one that copies differ from least
     met = members.groupBy("id").agg((-F.count("*")).alias("rank"))
     leads = members.join(met, "id").groupBy("key").agg(F.min(F.struct("rank", "id")).alias("lead")).select("key", F.col("lead.id").alias("lead"))
@@ -199,7 +224,8 @@ def dedup(docs: DataFrame, *, edits: int = 2) -> DataFrame:
     def texts_of(ids: DataFrame) -> DataFrame:
         ids = few(ids.distinct())
         wanted = stored(places.join(ids, "id", "left_semi").groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted")), "wanted")
-        texts = with_lists(rows, wanted, inner=True).withColumn("lines", F.split("text", "\n")).select(F.explode("wanted").alias("i"), "lines").select(F.get("lines", F.col("i")).alias("line"))
+        asked = _let(F.split("text", "\n"), lambda lines: F.transform("wanted", lambda i: F.get(lines, i)))
+        texts = with_lists(rows, wanted, inner=True).select(F.explode(asked).alias("line")).where("line IS NOT NULL")
         return texts.select(F.xxhash64("line").alias("id"), "line").dropDuplicates(["id"])
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -212,7 +238,7 @@ def dedup(docs: DataFrame, *, edits: int = 2) -> DataFrame:
     labelled = members.join(labels, "id", "left").select("key", "own", "id", F.coalesce("component", "id").alias("c"))
     mixed = labelled.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key", "c1")
     open_ = stored(labelled.join(mixed, "key"), "open")
-    marks = few(texts_of(open_.select("id")).select("id", F.length("line").alias("n"), _marks(F.col("line")).alias("m")))
+    marks = few(texts_of(open_.select("id")).select("id", F.length("line").alias("n"), _marks(F.col("line")).alias("m")), width=56)
     open_ = open_.join(marks, "id")
     x = open_.where("c <> c1").select("key", F.col("own").alias("ox"), F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("m").alias("mx"))
     y = open_.select("key", F.col("own").alias("oy"), F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("m").alias("my"))
@@ -220,15 +246,16 @@ def dedup(docs: DataFrame, *, edits: int = 2) -> DataFrame:
     most = allowed(F.least("nx", "ny"), edits)
     rest = x.join(y, "key").where(F.expr("cx <> cy AND (ox OR oy)") & (F.abs(F.col("nx") - F.col("ny")) <= most) & (bits <= 4 * most)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = stored(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+    forget(members, stars)
     if not rest.isEmpty():
         labels = stored(components(links.union(verified(rest))).toDF("id", "component"), "labels")
     near = places.join(labels, "id")
     first = near.groupBy("component").agg(F.min(ref).alias("first"))
     near = near.join(first, "component").where(ref != F.col("first")).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
-    gone = stored(equal.union(near).groupBy("doc_id").agg(F.flatten(F.collect_list("gone")).alias("gone")), "gone")
-    lines = F.split("text", "\n")
-    cleaned = with_lists(docs, gone).withColumn("__lines", lines)
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter("__lines", lambda _, i: ~F.array_contains("gone", i)), "\n"))
-    worded = F.size(F.filter("__lines", lambda s: F.btrim(s, F.lit(" \t\n\x0b\x0c\r")) != "")).cast("long")
-    out = cleaned.withColumns({"n_lines": F.greatest(worded, F.lit(0)), "n_removed": F.greatest(F.size("gone"), F.lit(0)).cast("long"), "text": kept})
+    gone, lines = unused(docs, "gone"), F.split("text", "\n")
+    lost = stored(equal.union(near).groupBy("doc_id").agg(F.flatten(F.collect_list("gone")).alias(gone)), "gone")
+    cleaned = with_lists(docs, lost)
+    left = _let(lines, lambda x: F.array_join(_kept(x, F.col(gone), lambda _, line: line), "\n"))
+    worded = F.size(F.filter(lines, lambda s: F.btrim(s, F.lit(" \t\n\x0b\x0c\r")) != "")).cast("long")
+    out = cleaned.withColumns({"n_lines": F.greatest(worded, F.lit(0)), "n_removed": F.greatest(F.size(gone), F.lit(0)).cast("long"), "text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)})
     return out.select(*docs.columns, "n_lines", "n_removed")
