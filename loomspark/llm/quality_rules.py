@@ -55,7 +55,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worded = words_before[to] > words_before[at]
         at, to = at[worded], to[worded]
         line_text = np.searchsorted(offsets, at, "right") - 1
-        _, first = groups(mix(spans_hash(w.sums, at, to) + line_text.astype(U) * U(0x9E3779B97F4A7C15)))
+        _, first = groups(mix(spans_hash(data, at, to) + line_text.astype(U) * U(0x9E3779B97F4A7C15)))
         n = len(offsets) - 1
         # 3-word windows found twice or more in one text
         h, text, place = w.windows_at(3)
@@ -93,7 +93,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     counts as empty; it fails ``few_words`` alone. Repeated rows give repeated results, other
     columns are ignored, and an empty table gives an empty ledger.
     """
-    measured = docs.select("doc_id", "text").mapInArrow(_measured, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
+    measured = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_measured, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
     return measured.withColumn("failed_bits", failed_bits())
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .bounded import with_lists
-from .words import U, Words, chunks, groups, mix
+from .words import U, Words, chunks, groups, mix, runs_hash
 
 #: Words in an anchor.
 ANCHOR = 8
@@ -40,10 +40,7 @@ class Graph:
         self.words = w = Words(data, offsets)
         self.hash, self.text, self.at = w.windows_at(window)
         span = window - ANCHOR + 1
-        anchors = np.zeros(max(0, len(w.hashes) - ANCHOR + 1), U)
-        for j in range(ANCHOR):
-            anchors = anchors * U(0xD1342543DE82EF95) + w.hashes[j : j + len(anchors)]
-        anchors = mix(anchors)
+        anchors = runs_hash(w.hashes, ANCHOR, 7)
         n = max(0, len(anchors) - span + 1)
         low, place = anchors[:n].copy(), np.zeros(n, np.int64)
         for j in range(1, span):

@@ -2,8 +2,9 @@
 
 A word is ``[^\\x20\\x09-\\x0D]+``. Both its separators and the letters A-Z are single bytes in
 UTF-8, so all of this works on the bytes of a batch at once and no word becomes a Python object.
-Hashes are the same on every machine. Equal words always have equal hashes; two different ones
-meet with probability 2**-64 or so a pair.
+Hashes are the same on every machine. A span is hashed in blocks of 8 bytes, each of which goes with
+its number through a bijection that is not linear, so that no arrangement of letters makes two
+different spans meet more often than by chance, which is about 2**-64 a pair.
 """
 
 from __future__ import annotations
@@ -23,19 +24,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BASE, _MASK = 0x9E3779B97F4A7C55, (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = {b: np.ones(1, U) for b in (_BASE, _INVERSE)}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64."""
-    p = _powers[base]
-    while len(p) < n:
-        p = np.concatenate([p, p * U(pow(base, len(p), 1 << 64))])
-    if len(p) <= 8 * CHUNK:
-        _powers[base] = p
-    return p[:n]
+_GOLDEN = U(0x9E3779B97F4A7C15)
+#: Masks that leave the first 0 to 8 bytes of a block.
+_MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], U)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -45,16 +36,46 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def _sums(data: np.ndarray) -> np.ndarray:
-    c = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * powers(_BASE, len(data)), out=c[1:])
-    return c
-
-
-def spans_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the byte spans [start, end) below ``sums``."""
-    h = (sums[end] - sums[start]) * powers(_INVERSE, len(sums))[start]
-    return mix(h + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+def blocks(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The byte spans [start, end) in blocks of 8 bytes, zeros behind the last byte: all blocks in a
+    row, the number of each within its span, and the place of each span's first one."""
+    count = np.maximum(end - start + 7, 8) >> 3
+    first = np.cumsum(count) - count
+    nth = np.arange(int(count.sum())) - np.repeat(first, count)
+    at = np.repeat(start, count) + 8 * nth
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # at every byte
+    return eights[at] & _MASKS[np.minimum(np.repeat(end, count) - at, 8)], nth, first
+
+
+def blocks_hash(values: np.ndarray, nth: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the spans of ``size`` bytes that ``blocks`` has taken apart."""
+    if not len(first):
+        return np.zeros(0, U)
+    return mix(np.add.reduceat(mix(values + mix(nth.astype(U) * _GOLDEN + U(1))), first) + size.astype(U) * U(0xD6E8FEB86659FD93))
+
+
+def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte spans [start, end)."""
+    return blocks_hash(*blocks(data, start, end), end - start)
+
+
+def runs_hash(hashes: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
+    """A hash of each k consecutive ones of ``hashes``, put together by halves."""
+    done, made = {1: hashes}, 1
+    whole, size = None, 0  # of the powers of two in k so far
+    while True:
+        if k & made:
+            part = done[made]
+            n = len(hashes) - size - made + 1
+            whole = part if whole is None else mix(whole[: max(0, n)] * U(0x9FB21C651E98DF25) + mix(part[size : size + max(0, n)] + U(size + seed)))
+            size += made
+        if size == k:
+            return whole
+        p = done[made]
+        n = max(0, len(p) - made)
+        done[2 * made] = mix(p[:n] * U(0xD1342543DE82EF95) + mix(p[made : made + n] + U(made + seed)))
+        made *= 2
 
 
 class Words:
@@ -73,8 +94,7 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
         if hashed:
-            self.sums = _sums(self.data)
-            self.hashes = spans_hash(self.sums, self.starts, self.ends)
+            self.hashes = spans_hash(self.data, self.starts, self.ends)
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
@@ -85,15 +105,11 @@ class Words:
         return self.windows_at(k)[:2]
 
     def windows_at(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = len(self.hashes) - k + 1
-        if n <= 0:
+        if len(self.hashes) < k:
             return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        h = np.zeros(n, U)
-        for j in range(k):
-            h = h * U(0x9FB21C651E98DF25) + self.hashes[j : j + n]
         text = self.text_of_word()
-        at = np.flatnonzero(text[:n] == text[k - 1 :])
-        return mix(h[at]), text[at], at
+        at = np.flatnonzero(text[: len(text) - k + 1] == text[k - 1 :])
+        return runs_hash(self.hashes, k)[at], text[at], at
 
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         """How many of the bytes flagged belong to each text."""
@@ -123,14 +139,21 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
+def by_text(order: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """``order`` made an order by text, and by what it was within each; a chunk has few texts."""
+    return order[np.argsort(text[order].astype(np.uint16 if ROWS <= 1 << 16 else np.int64), kind="stable")]
+
+
 def groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each value the number of equal ones, and whether it is the first of them."""
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)
     v = values[order]
     new = np.ones(len(v), bool)
     new[1:] = v[1:] != v[:-1]
     start = np.flatnonzero(new)
     size = np.diff(np.append(start, len(v)))
-    count, first = np.empty(len(v), np.int64), np.empty(len(v), bool)
-    count[order], first[order] = np.repeat(size, size), new
+    count, first = np.empty(len(v), np.int64), np.zeros(len(v), bool)
+    count[order] = np.repeat(size, size)
+    if len(v):
+        first[np.minimum.reduceat(order, start)] = True
     return count, first
