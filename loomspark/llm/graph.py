@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import forget, stored
 
 
 def _near(edges: DataFrame) -> DataFrame:
@@ -27,12 +27,13 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: what is larger than u goes to u's smallest neighbour
         near = _near(both).select("u", F.least("u", "m").alias("m"))
-        e = both.where("v > u").join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = stored(both.where("v > u").join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
         # small star: u and what is smaller than u go to the smallest of them
-        e = stored(e, "edges")
-        near = _near(e)
-        small = e.join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = stored(small.union(near).distinct(), "edges")
+        near = _near(large)
+        small = large.join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        after = stored(small.union(near).distinct(), "edges")
+        forget(e, large)
+        e = after
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before:
             break

@@ -4,14 +4,15 @@ A document's tokens are its distinct shingles, in one order that all documents s
 ones last. Two sets with similarity t or more have a common token among the first
 ``n - ceil(t * n) + 1`` of each, and k common tokens among the first k - 1 more of each. So
 
-1. documents with equal sets become one class, which its smallest doc_id stands for;
-2. prefixes are grouped by token, and each member is verified against the one of its group that
+1. documents with equal sets become one class, which one of their rows stands for;
+2. of two similar sets the smaller one shares tokens of a still shorter prefix, so a token counts only if
+   it is in such a prefix of one set and in a prefix of another. Prefixes are grouped by token, and each member is verified against the one of its group that
    has the fewest rare tokens; that links most members of a group of near copies by one pair each;
 3. only groups that still hold several components go on. There a rare token is a key by itself,
    and frequent tokens are keys by twos (or one by one, for sets with very many of them), and every
    pair of members of different components that meets under a key is verified.
 
-Pairs whose sizes or 512-bit marks rule similarity out are not verified, which loses none. Every
+Pairs whose sizes or marks (a bit for each class of tokens, 512 and then 4,096 of them) rule similarity out are not verified, which loses none. Every
 verification is exact, on the whole texts. No pair is capped or sampled.
 """
 
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import forget, stored
 from .bounded import few
 from .graph import components
-from .words import U, Words, chunks, mix
+from .words import U, Words, by_text, chunks, mix
 
 #: Text, in bytes, in which a token must be in several sets to be reported as common.
 BLOCK = 8 << 20
@@ -37,6 +38,10 @@ COMMON = 500_000
 FREQUENT = 48
 #: A set with more frequent tokens in its prefix indexes them one by one.
 WIDE = 24
+#: Bits of the marks that pairs are compared by where they meet, and before they are verified.
+MARKS, WIDE_MARKS = 512, 4096
+#: Pairs of one set that are verified under one key.
+PARTNERS = 256
 #: So many tokens before a token that is a key by itself are compared to leave a pair to an earlier key.
 NEAR = 8
 
@@ -47,9 +52,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     h, text = w.windows(k)
     short = np.flatnonzero((w.counts > 0) & (w.counts < k))
     if len(short):  # the whole sequence is the one shingle
-        whole = np.array([_sequence(w.hashes[w.first[i] : w.first[i + 1]]) for i in short], U)
+        whole = _sequences(w, short, k)
         h, text = np.concatenate([h, whole]), np.concatenate([text, short])
-    order = np.lexsort((h, text))
+    order = by_text(np.argsort(h), text)
     h, text = h[order], text[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
@@ -57,11 +62,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return h, np.searchsorted(text, np.arange(len(w.counts) + 1))
 
 
-def _sequence(hashes: np.ndarray) -> np.uint64:
-    h = U(len(hashes))
-    with np.errstate(over="ignore"):
-        for x in hashes:
-            h = mix(np.array([h * U(0x9FB21C651E98DF25) + x]))[0]
+def _sequences(w: Words, texts: np.ndarray, k: int) -> np.ndarray:
+    """A hash of all words of each of ``texts``, which have fewer than k."""
+    h = w.counts[texts].astype(U)
+    for j in range(k - 1):
+        more = np.flatnonzero(w.counts[texts] > j)
+        h[more] = mix(h[more] * U(0x9FB21C651E98DF25) + w.hashes[w.first[texts[more]] + j])
     return h
 
 
@@ -105,6 +111,18 @@ def common_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return token[order], table.column("level").to_numpy()[order].astype(np.uint8)
 
 
+def _parity(h: np.ndarray, text: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """A bit for each of ``bits`` classes of tokens, for each of n texts: whether it has an odd number of them."""
+    bit = text * bits + (mix(h ^ U(0x3C79AC492BA7B653)) % U(bits)).astype(np.int64)
+    out = np.zeros(n * bits // 8, np.uint8)
+    np.bitwise_xor.at(out, bit >> 3, np.uint8(1) << (bit & 7).astype(np.uint8))
+    return out.view(np.int64).reshape(n, bits // 64)
+
+
+def _fixed(rows: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.int64()))
+
+
 def _sets(k: int, percent: int, common) -> Callable:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, level = common.value
@@ -116,21 +134,18 @@ def _sets(k: int, percent: int, common) -> Callable:
             if len(known):
                 place = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 rank = np.where(known[place] == h, level[place], 0).astype(U)
-            order = np.lexsort((h, rank, text))
+            order = np.argsort(h)
+            order = by_text(order[np.argsort(rank[order].astype(np.uint8), kind="stable")], text)
             rare = n - np.bincount(text[rank > 0], minlength=len(n))
             # one token more than the prefix, for combinations of two
             size = np.where(n > 0, np.minimum(n - (-(-percent * n // 100)) + 2, n), 0)
             nth = np.arange(len(h)) - np.repeat(at[:-1], n)
             prefix = h[order][nth < np.repeat(size, n)].view(np.int64)
             sums = [np.concatenate([[U(0)], np.cumsum(mix(h ^ U(c)))]) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-            # a bit for each of 512 classes of tokens: whether the set has an odd number of them
-            bit = (mix(h ^ U(0x3C79AC492BA7B653)) >> U(55)).astype(np.int64)
-            odd = (np.bincount(text * 512 + bit, minlength=len(n) * 512) & 1).astype(np.uint8)
-            marks = np.packbits(odd).view(np.int64)
+            marks, wide = (_parity(h, text, len(n), bits) for bits in (MARKS, WIDE_MARKS))
             digest = [(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(rare), *map(pa.array, digest), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(prefix)), pa.FixedSizeListArray.from_arrays(pa.array(marks), 8).cast(pa.list_(pa.int64()))], ["doc_id", "n", "rare", "d1", "d2", "prefix", "marks"]
-            )
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(prefix)), _fixed(marks), _fixed(wide)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(n), pa.array(rare), *map(pa.array, digest), *lists], ["doc_id", "version", "n", "rare", "d1", "d2", "prefix", "marks", "wide"])
 
     return describe
 
@@ -160,12 +175,27 @@ def _slice(data: np.ndarray, offsets: np.ndarray, batch: pa.RecordBatch, part: p
     return data[o[0] : o[-1]], o - o[0]
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose whole texts are similar."""
-    ids = few(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    texts = stored(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
-    a, b = texts.toDF("a", "ta"), texts.toDF("b", "tb")
-    return stored(pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_similar(k, percent), "a long, b long"), "links")
+def _version() -> Column:
+    return F.xxhash64("text").alias("version")  # tells texts of one doc_id apart
+
+
+def verified(docs: DataFrame, who: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets whose whole texts are similar; ``who`` says where a set's text is
+    (id, doc_id, version). b may be in very many pairs, so these are dealt by b and a part of it."""
+    who = few(who)
+    texts = docs.select("doc_id", _version(), "text")
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+
+    def with_text(ids: DataFrame, name: str) -> DataFrame:
+        asked = few(ids.join(who, "id").withColumnsRenamed({"doc_id": "own", "version": "own_version"}), width=8)
+        return texts.join(asked, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("version") == F.col("own_version"))).drop("doc_id", "version", "own", "own_version").withColumnRenamed("text", name)
+
+    many = with_text(pairs.join(parts, "b").select(F.col("a").alias("id"), "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part")), "ta").withColumnRenamed("id", "a")
+    one = with_text(parts.withColumnRenamed("b", "id"), "tb").dropDuplicates(["id"])
+    one = stored(one.select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "tb"), "texts")
+    links = stored(many.join(one, ["b", "part"]).select("a", "b", "ta", "tb").mapInArrow(_similar(k, percent), "a long, b long").distinct(), "links")
+    forget(one)
+    return links
 
 
 def _twos(tokens: Column) -> Column:
@@ -186,10 +216,21 @@ def _may(x: str, y: str, percent: int) -> Column:
     """Whether two sets can be similar, from sizes and marks: similar sets differ in at most
     (1 - t) / (1 + t) of their tokens, and marks in no more bits than sets in tokens."""
     nx, ny, mx, my = F.col(f"n{x}"), F.col(f"n{y}"), F.col(f"m{x}"), F.col(f"m{y}")
-    bits = sum((F.bit_count(mx[i].bitwiseXOR(my[i])) for i in range(8)), F.lit(0))
+    bits = sum((F.bit_count(mx[i].bitwiseXOR(my[i])) for i in range(MARKS // 64)), F.lit(0))
     return (F.lit(100) * F.least(nx, ny) >= F.lit(percent) * F.greatest(nx, ny)) & (F.lit(100 + percent) * bits <= F.lit(100 - percent) * (nx + ny))
 
 
+def _by_wide_marks(pairs: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may be similar by their wide marks."""
+    ids = few(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    wide = stored(first.select("id", "n", "wide").join(ids, "id", "left_semi"), "wide")
+    x, y = wide.toDF("a", "na", "wa"), wide.toDF("b", "nb", "wb")
+    bits = F.aggregate(F.zip_with("wa", "wb", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
+    out = stored(pairs.join(x, "a").join(y, "b").where(F.lit(100 + percent) * bits <= F.lit(100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs")
+    forget(wide, ids)
+    return out
+
+
 def _needed(rows: DataFrame, percent: int) -> DataFrame:
     """``rows`` (token, pos, n, ...) whose place is among those where the first two tokens that
     the set shares with a similar one of the same group can be.
@@ -249,35 +290,53 @@ def join(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     the whole sequence if it has fewer words. Sets link if 100 * common >= percent * all.
     component_id is the smallest doc_id reachable by links. Null and wordless texts have no
     shingle and link with nothing. Rows that share a doc_id are one node, linked by any of their
-    texts; a null doc_id links with nothing and has a null component if its set is no one else's.
-    Other columns are ignored; an empty table gives no rows.
+    texts; a row with a null doc_id links by its text, and its component_id is null if nothing that it
+    reaches has a doc_id. Other columns are ignored; an empty table gives no rows.
     """
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     common = spark.sparkContext.broadcast(common_tokens(rows, k))
-    sets = stored(rows.mapInArrow(_sets(k, percent, common), "doc_id long, n long, rare long, d1 long, d2 long, prefix array<long>, marks array<long>"), "sets")
-    # copies are combined before the shuffle; the first of them keeps its prefix
-    classes = stored(sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id")), "classes")
-    first = sets.where("n > 0").join(few(classes.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    sketches = few(first.select(F.col("doc_id").alias("id"), "n", "rare", F.col("marks").alias("m")).dropDuplicates(["id"]))
-    extended = first.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("id"))
-    groups = extended.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("token")
-    members = stored(extended.join(groups, "token").join(sketches.select("id", "n", "rare"), "id"), "members")
+    found = rows.select("doc_id", "text", _version()).mapInArrow(_sets(k, percent, common), "doc_id long, version long, n long, rare long, d1 long, d2 long, prefix array<long>, marks array<long>, wide array<long>")
+    sets = stored(found.withColumn("id", F.monotonically_increasing_id()), "sets")
+    worded = sets.where("n > 0")
+    # copies are combined before the shuffle; one of them keeps its prefix
+    classes = stored(worded.groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.min("doc_id").alias("least")), "classes")
+    first = worded.join(few(classes.select("id")), "id", "left_semi")
+    sketches = few(first.select("id", "doc_id", "version", "n", "rare", F.col("marks").alias("m")), width=88)
+    who = sketches.select("id", "doc_id", "version")
+    # a token is dealt once for both of its uses; places where only a larger set needs it are negative
+    own = F.col("pos") < F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 2
+    extended = first.select(F.posexplode("prefix").alias("pos", "token"), "id", "n").select("token", F.when(own, F.col("pos")).otherwise(-1 - F.col("pos")).alias("place"), "id").repartition("token")
+    groups = extended.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.max("place").alias("place")).where("a <> z AND place >= 0").select("token")
+    met = extended.join(groups.hint("shuffle_hash"), "token").join(sketches.select("id", "n", "rare"), "id")
+    members = stored(met.select("token", F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("pos"), "id", "n", "rare"), "members")
     # the member with the fewest rare tokens is the one that copies differ from least
-    leads = members.groupBy("token").agg(F.min(F.struct((F.col("rare") / F.col("n")).alias("share"), "id")).alias("lead")).select("token", F.col("lead.id").alias("idx"))
-    stars = members.select("token", F.col("id").alias("idy")).join(leads, "token").where("idx <> idy").select("idx", "idy").distinct()
+    leads = members.groupBy("token").agg(F.min(F.struct((F.col("rare") / F.col("n")).alias("share"), "id")).alias("lead")).select("token", F.col("lead.id").alias("idy"))
+    stars = members.select("token", F.col("id").alias("idx")).join(leads, "token").where("idx <> idy").select("idx", "idy").distinct()
     side = lambda s: sketches.select(F.col("id").alias(f"id{s}"), F.col("n").alias(f"n{s}"), F.col("m").alias(f"m{s}"))
-    stars = stars.join(side("x"), "idx").join(side("y"), "idy").where(_may("x", "y", percent)).select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b"))
+    stars = stars.join(side("x"), "idx").join(side("y"), "idy").where(_may("x", "y", percent)).select(F.col("idx").alias("a"), F.col("idy").alias("b"))
     stars = stored(stars.distinct(), "stars")
-    links = verified(rows, stars, k, percent)
+    links = verified(rows, who, stars, k, percent).union(_same_document(sets, classes))
     labels = stored(components(links).toDF("id", "component"), "labels")
-    rest = stored(_rest(members.select("token", "pos", "id", "n"), labels, sketches.select("id", "m"), percent).join(stars, ["a", "b"], "left_anti"), "rest")
+    rest = _rest(members.select("token", "pos", "id", "n"), labels, sketches.select("id", "m"), percent)
+    both = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = stored(rest.join(both, ["a", "b"], "left_anti"), "rest")
+    forget(members, stars)
     if not rest.isEmpty():
-        more = verified(rows, rest, k, percent)
-        labels = stored(components(links.union(more)).toDF("id", "component"), "labels")
-    by_set = classes.join(labels, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component_id"))
+        rest = _by_wide_marks(rest, first, percent)
+        labels = stored(components(links.union(verified(rows, who, rest, k, percent))).toDF("id", "component"), "labels")
+    least = labels.join(classes.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("reached"))
+    by_set = classes.join(labels, "id", "left").join(least, "component", "left").select("d1", "d2", "n", F.coalesce("reached", "least").alias("component_id"))
     light = sets.select("doc_id", "n", "d1", "d2")
-    return light.join(by_set, ["d1", "d2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return light.join(stored(by_set, "found"), ["d1", "d2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _same_document(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links of the different sets of rows that share a doc_id."""
+    worded = sets.where("n > 0 AND doc_id IS NOT NULL")
+    several = worded.groupBy("doc_id").agg(F.min("d1").alias("a"), F.max("d1").alias("z")).where("a <> z").select("doc_id")
+    of = stored(worded.join(several, "doc_id").select("doc_id", "d1", "d2", "n").join(classes, ["d1", "d2", "n"]).select("doc_id", "id"), "repeated")
+    return of.join(of.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").where("a <> id").select("a", F.col("id").alias("b")).distinct()
 
 
 def keep_first(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
