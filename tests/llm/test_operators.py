@@ -11,11 +11,12 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomspark.llm import embedding_dedup, graph, hnsw, jaccard, licenses, line_dedup, mixing, nbsvm, packing, quality_rules, queries, substrings, token_files
+from loomspark.llm import embedding_dedup, graph, hnsw, jaccard, licenses, line_dedup, mixing, nbsvm, packing, quality_rules, queries, substrings, token_files, words
 from loomspark.llm.tokens import Encoder, default_tokenizer
 from loomspark.session import scratch
 
@@ -67,6 +68,25 @@ def test_query_matches_sql(spark, name):
     assert Counter(map(tuple, got.select(*names).collect())) == Counter(rows)
 
 
+def twins(n):
+    """Two words of n characters that a polynomial modulo a power of two doesn't tell apart."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return ["".join(letters[b] for b in bits) for letters in ("ab", "ba")]
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_twin_words(spark, n):
+    x, y = twins(n)
+    rest = " ".join(f"w{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{x}\n{y}"), (2, x), (3, y), (4, f"{x} {rest}"), (5, f"{y} {rest}")], "doc_id int, text string")
+    assert {r.n_dup_lines for r in quality_rules.ledger(df).collect()} == {0}
+    assert all(r.component_id == r.doc_id for r in jaccard.join(df).collect() if r.doc_id < 4)
+    assert all(r.n_removed == 0 for r in substrings.dedup(df).collect())
+    assert {r.n_removed for r in line_dedup.dedup(df).collect()} == {0, 1}
+
+
 def test_rules(spark, docs, empty):
     got = {r.doc_id: r for r in quality_rules.ledger(docs).collect()}
     for d, text, *_ in made():
@@ -201,6 +221,17 @@ def test_jaccard(spark, docs, empty):
     assert jaccard.join(empty).count() == 0
 
 
+def test_jaccard_repeated_ids(spark):
+    """A document of two texts is linked by either, whatever the order of its rows; so is one without a doc_id."""
+    a, b = ([f"{c}{i}" for i in range(200)] for c in "ab")
+    near = [*b[:199], "x"]
+    rows = [(1, a), (1, b), (2, near), (None, a[:-1]), (3, ["alone"]), (None, ["other"])]
+    for _ in range(2):
+        rows.reverse()
+        got = jaccard.join(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")).collect()
+        assert sorted((x.doc_id or 0, x.n_shingles, x.component_id) for x in got) == [(0, 1, None), (0, 195, 1), (1, 196, 1), (1, 196, 1), (2, 196, 1), (3, 1, 3)]
+
+
 def test_jaccard_frequent_groups(spark):
     """Chains of near copies whose groups are frequent, with sets of few and of many such tokens."""
     r = random.Random(2)
@@ -288,7 +319,27 @@ def ids_of(text):
 def test_encoder():
     e = Encoder.of(default_tokenizer())
     for text in ["a  b\n\n c's 're 12,3!!  x　y\t\tz <|endoftext|> q<|endoftext|>r ᠎ a", " ", "\n", "a ", "  a  ", " 's it's", "Über\nÉté, naïve... \r\n x", "\n a", "a.b ,c"] + [t for _, t, *_ in made() if t]:
-        assert e.encode([text, None])[0].tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+        assert e.encode(*words.utf8(pa.array([text, None])))[0].tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_cuts():
+    """Strings of characters at which the pattern may or may not cut, against whole texts."""
+    e, r = Encoder.of(default_tokenizer()), random.Random(8)
+    parts = ["a", "The", " ", "  ", "\n", "\t", "\r\n", "'", "'s", "'re", "7", "٣", ".", "!?", "é", "×", "ÿ", "ж", "中", "ア", "😀", "\xa0", "\u2003", "\u200b", "\u2028", "\u3000", "’", "—", "…", "\ufeff", "\x00", "\x1c", "\x85", "\u180e", "ˀ", "\u0301", "<|endoftext|>", "<|endof", "text|>"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(6000)]
+    ids, sizes = e.encode(*words.utf8(pa.array(texts)))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert e.by_piece and e.keys.n
+
+
+def test_encoder_without_cuts():
+    """A tokenizer with another pattern gets whole texts."""
+    import public_tokenizers
+
+    e = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Some Words,  and more", "", "x"]
+    ids, sizes = e.encode(*words.utf8(pa.array(texts)))
+    assert not e.by_piece and [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_token_files(spark, docs, empty):
