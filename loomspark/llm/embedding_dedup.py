@@ -2,31 +2,36 @@
 
 Equal vectors become one class. The classes are dealt to shards by hash and every shard gets a
 hierarchical graph, whose beam is widened until an audit against brute force passes; a shard whose audit
-fails at the widest beam is searched by brute force. Every vector is searched in every shard, in blocks;
-what is found is verified by cosine in double precision, and
-linked classes form components.
+fails at the widest beam is searched by brute force. A shard is a few array files in the shared folder.
+A task takes two shards by their paths and searches the vectors of each in the graph of the other;
+what is found is verified by cosine in double precision. It returns no pairs but, for each vector, how many
+it found and one vector of its component, so that its result grows with vectors and not with links.
+Where a link was found from one side only, the links of its component are counted by brute force.
 """
 
 from __future__ import annotations
 
-import pickle
+from collections.abc import Callable, Iterator
+from io import BytesIO
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import forget, scratch, stored
 from .graph import components
-from .hnsw import SLACK, Graph
+from .hnsw import BLOCK, SLACK, Graph
+from .token_files import fs, place
+from .words import U, mix
 
-#: Shards are this many at least, and more if a shard would have more vectors than this.
-SHARDS, SHARD_ROWS = 4, 200_000
-#: Vectors searched by one task.
-QUERY_ROWS = 8_192
+#: Shards are this many at least, and more if a shard would have more vectors or bytes of components than this.
+SHARDS, SHARD_ROWS, SHARD_BYTES = 4, 100_000, 128 << 20
 #: Vectors with neighbours that are audited of a shard at least, and the share of their neighbours to be found.
 AUDITED, RECALL = 512, 0.99
+#: Verified pairs that are compared at once.
+PAIRS = 1 << 16
 
 
 def usable(v: Column) -> Column:
@@ -42,44 +47,145 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(1, keepdims=True))
 
 
-def _build(least: float):
+def _put(folder: str) -> Callable[[str, np.ndarray], None]:
+    where, path = place(folder)
+    where.create_dir(path, recursive=True)
+
+    def put(name: str, values: np.ndarray) -> None:
+        blob = BytesIO()
+        np.save(blob, np.ascontiguousarray(values))
+        with where.open_output_stream(f"{path}/{name}.npy") as f:
+            f.write(blob.getbuffer())
+
+    return put
+
+
+def _get(folder: str) -> Callable[[str], np.ndarray]:
+    """Arrays of a folder: memory-mapped where it is on a mounted file system."""
+    where, path = place(folder)
+
+    def get(name: str) -> np.ndarray:
+        if isinstance(where, fs.LocalFileSystem):
+            return np.load(f"{path}/{name}.npy", mmap_mode="r")
+        with where.open_input_file(f"{path}/{name}.npy") as f:
+            return np.load(BytesIO(f.read()))
+
+    return get
+
+
+def _build(least: float, folder: str):
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
-        unit = _unit(np.stack(table.column("embedding").to_numpy()))
+        dim, shard = table.column("dim")[0].as_py(), table.column("shard")[0].as_py()
+        unit = _unit(table.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, dim))
         graph = Graph(unit.astype(np.float32))
         found = graph.audit(least, RECALL, AUDITED)
-        blob = pickle.dumps((table.column("id").to_numpy(), unit, graph))
-        return pa.table({"dim": table.column("dim")[:1], "shard": table.column("shard")[:1], "beam": pa.array([graph.beam]), "recall": pa.array([found]), "graph": pa.array([blob], pa.binary())})
+        # a retried or speculative task writes other files; only the row counts
+        path = f"{folder}/{dim}-{shard}-{TaskContext.get().taskAttemptId()}"
+        put = _put(path)
+        put("ids", table.column("id").to_numpy())
+        put("weights", table.column("size").to_numpy())
+        put("unit", unit)
+        graph.save(put)
+        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32()), "beam": pa.array([graph.beam]), "recall": pa.array([found]), "path": pa.array([path])})
 
     return build
 
 
-def _search(least: float):
-    def search(queries: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(shards):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        ids, unit, graph = pickle.loads(shards["graph"].iloc[0])
-        own, q = queries["id"].to_numpy(), _unit(np.stack(queries["embedding"].to_numpy()))
-        a, b = graph.near(q.astype(np.float32), least - SLACK, graph.beam)
+class _Shard:
+    def __init__(self, path: str):
+        get = _get(path)
+        self.ids, self.weights, self.unit, self.graph = get("ids"), get("weights"), get("unit"), Graph.load(get)
+
+
+def _join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Merge the components of the nodes a[i] and b[i]; every label is the smallest node of its component."""
+    while True:
+        x, y = labels[a], labels[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(labels, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while True:
+            up = labels[labels]
+            if np.array_equal(up, labels):
+                break
+            labels[:] = up
+
+
+def linked(p: _Shard, q: _Shard, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """For the vectors of p and then of q (once if they are one shard): the weight of the vectors of the
+    other that each is linked with, and the first vector of its component."""
+    same = p is q
+    n, m = len(p.ids), 0 if same else len(q.ids)
+    labels, weight = np.arange(n + m), np.zeros(n + m, np.int64)
+    marks = np.zeros((2, n + m), U)  # sums over the pairs found from each side
+
+    def verified(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keep = np.zeros(len(a), bool)
-        for i in range(0, len(a), 1 << 16):
-            s = slice(i, i + (1 << 16))
-            keep[s] = np.einsum("id,id->i", q[a[s]], unit[b[s]]) >= least
-        keep &= own[a] != ids[b]
-        x, y = own[a[keep]], ids[b[keep]]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        for i in range(0, len(a), PAIRS):
+            s = slice(i, i + PAIRS)
+            keep[s] = np.einsum("id,id->i", x[a[s]], y[b[s]]) >= least
+        return keep
+
+    for x, y, at_x, at_y in [(p, q, 0, 0)] if same else [(p, q, 0, n), (q, p, n, 0)]:
+        for i, a, b in y.graph.hits(x.graph.x, least - SLACK):
+            a = a + i
+            ok = verified(x.unit, y.unit, a, b) & ((a != b) | (not same))
+            a, b = a[ok], b[ok]
+            np.add.at(weight, a + at_x, y.weights[b])
+            u, v = a + at_x, b + at_y
+            pair = mix(np.minimum(u, v).astype(U) * U(0x9E3779B97F4A7C15) + np.maximum(u, v).astype(U))
+            np.add.at(marks, ((u > v).astype(np.int64), u), pair)
+            _join(labels, u, v)
+    sums = np.zeros((2, n + m), U)
+    for side in (0, 1):
+        np.add.at(sums[side], labels, marks[side])
+    uneven = sums[0] != sums[1]
+    if uneven.any():  # some link of these components was found from one side only
+        mine = np.flatnonzero(uneven[labels])
+        weight[mine] = 0
+        left, right = (mine, mine) if same else (mine[mine < n], mine[mine >= n])
+        vector = lambda k: np.where((k < n)[:, None], p.unit[np.minimum(k, n - 1)], q.unit[np.maximum(k - n, 0)])
+        heavy = lambda k: np.where(k < n, p.weights[np.minimum(k, n - 1)], q.weights[np.maximum(k - n, 0)])
+        for c in np.unique(labels[mine]):
+            l, r = left[labels[left] == c], right[labels[right] == c]
+            for i in range(0, len(l), BLOCK):
+                for j in range(0, len(r), PAIRS):
+                    a, b = l[i : i + BLOCK], r[j : j + PAIRS]
+                    near = vector(a) @ vector(b).T >= least
+                    if same:
+                        near &= a[:, None] != b[None, :]
+                    weight[a] += near @ heavy(b)
+                    if not same:
+                        weight[b] += near.T @ heavy(a)
+    return weight, labels
+
+
+def _search(least: float):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                p = _Shard(row["a"])
+                q = p if row["a"] == row["b"] else _Shard(row["b"])
+                weight, labels = linked(p, q, least)
+                ids = p.ids if p is q else np.concatenate([p.ids, q.ids])
+                told = np.flatnonzero((weight > 0) | (labels != np.arange(len(labels))))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[told]), pa.array(weight[told]), pa.array(ids[labels[told]])], ["id", "others", "first"])
 
     return search
 
 
 def index(classes: DataFrame, least: float) -> DataFrame:
-    """A row for each shard: its graph, beam and the recall that the audit measured (1 if it compares all). ``classes``: id,
-    embedding, dim."""
-    n = classes.count()
-    shards = max(SHARDS, -(-n // SHARD_ROWS))
+    """A row for each shard: the folder of its files, the beam and the recall that the audit measured (1 if it
+    compares all). ``classes``: id, embedding, dim, size."""
+    folder = scratch(classes.sparkSession, "shards")
+    n, dims = classes.agg(F.count("*"), F.sum(F.col("dim").cast("long"))).first()
+    shards = max(SHARDS, -(-n // SHARD_ROWS), -(-8 * (dims or 0) // SHARD_BYTES))
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    # one graph a task; a shard is bounded by SHARD_ROWS
-    return stored(dealt.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(_build(least), "dim int, shard int, beam long, recall double, graph binary"), "graphs")
+    # one graph a task; a shard is bounded by SHARD_ROWS and SHARD_BYTES
+    return stored(dealt.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(_build(least, folder), "dim int, shard int, beam long, recall double, path string"), "graphs")
 
 
 def dedup(vectors: DataFrame, *, least: float = 0.9) -> DataFrame:
@@ -88,25 +194,23 @@ def dedup(vectors: DataFrame, *, least: float = 0.9) -> DataFrame:
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing and are
     kept, and so do vectors of different lengths. Links are found with the audited recall;
-    none below ``least`` is reported. Rows with equal vectors always link. A row with a null vec_id
-    links with nothing and is kept. Other columns are ignored; an empty table gives no rows.
+    none below ``least`` is reported. Rows with equal vectors always link; rows that share a vec_id count as
+    other vectors each, and are one node. A row with a null vec_id links with nothing and is kept. Other columns are ignored; an empty table gives no rows.
     """
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding"))
     good = rows.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     # equal vectors are combined before the shuffle
     classes = stored(good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("size")).withColumn("dim", F.size("embedding")), "classes")
-    shards = index(classes.select("id", "embedding", "dim"), least)
-    blocks = max(1, -(-classes.count() // QUERY_ROWS))
-    # every block of queries meets every shard once
-    queries = classes.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(blocks)).cast("int")).join(F.broadcast(shards.select("dim", "shard")), "dim").select("dim", "shard", "block", "id", "embedding").toDF("qdim", "qshard", "qblock", "id", "embedding")
-    targets = shards.select("dim", "shard", "graph", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    links = queries.groupBy("qdim", "qshard", "qblock").cogroup(targets.groupBy("dim", "shard", "block")).applyInPandas(_search(least), "a long, b long")
-    links = stored(links.distinct(), "links")
-    both = links.union(links.select("b", "a"))
-    sizes = classes.select(F.col("id").alias("b"), "size")
-    degrees = both.join(sizes, "b").groupBy(F.col("a").alias("id")).agg(F.sum("size").alias("others"))
-    labels = components(links).toDF("id", "component")
+    shards = index(classes, least)
+    # every shard meets every shard once, by path: a narrow row for each two of them
+    a, b = shards.select("dim", F.col("shard").alias("i"), F.col("path").alias("a")), shards.select("dim", F.col("shard").alias("j"), F.col("path").alias("b"))
+    two = stored(a.join(b, "dim").where("i <= j").select("a", "b"), "tasks")
+    n = max(1, two.count())
+    found = stored(two.repartition(n, F.xxhash64("a", "b")).mapInArrow(_search(least), "id long, others long, first long"), "links")
+    degrees = found.groupBy("id").agg(F.sum("others").alias("others"))
+    labels = components(found.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))).toDF("id", "component")
     known = stored(classes.join(degrees, "id", "left").join(labels, "id", "left").select("embedding", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "id").alias("c")), "known")
+    forget(found, two)
     usable_here = usable(F.col("embedding")) & F.col("vec_id").isNotNull()
     out = rows.withColumn("own", F.when(usable_here, F.col("embedding"))).join(known.withColumnRenamed("embedding", "own"), "own", "left")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("c", "vec_id"), F.lit(True)).alias("kept"))

@@ -6,6 +6,8 @@ over a block.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 #: Links of a node that are kept when its list is cut, and those a list can hold.
@@ -52,6 +54,24 @@ class Graph:
                 self._connect(level, block, np.concatenate([found, block[None, :].repeat(len(block), 0)], 1))
                 done += len(block)
 
+    def save(self, put: Callable[[str, np.ndarray], None]) -> None:
+        """Hand what searches need to ``put`` as named arrays."""
+        put("x", self.x)
+        put("order", self.order[: max(TOP, *self.sizes[1:], 0) if len(self.sizes) > 1 else TOP])
+        put("facts", np.array([self.beam, self.exact, *self.sizes], np.int64))
+        for i, layer in enumerate(self.layers):
+            put(f"links{i}", layer.links)
+
+    @classmethod
+    def load(cls, get: Callable[[str], np.ndarray]) -> "Graph":
+        g = cls.__new__(cls)
+        g.x, g.order, facts = get("x"), get("order"), get("facts").tolist()
+        g.beam, g.exact, g.sizes = facts[0], bool(facts[1]), facts[2:]
+        g.layers = [Layer.__new__(Layer) for _ in g.sizes]
+        for i, layer in enumerate(g.layers):
+            layer.links = get(f"links{i}")
+        return g
+
     def _entries(self, q: np.ndarray, level: int) -> np.ndarray:
         """Where searches of ``level`` begin: the best of the top, made better by each layer between."""
         top = self.order[: min(TOP, len(self.order))]
@@ -170,6 +190,11 @@ class Graph:
             left, beam = np.concatenate(again), beam * 4
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
+    def hits(self, q: np.ndarray, least: float):
+        """The pairs of ``near``, a block of queries at a time: (number of the block's first query, query in it, node)."""
+        for i in range(0, len(q), BLOCK):
+            yield i, *self.near(q[i : i + BLOCK], least, self.beam)
+
     def _sample(self, least: float, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Vectors that have neighbours, in a random order, and all pairs (place in it, node) of them and their
         neighbours: ``sample`` vectors and as many more as GROUPS asks for, or all that the shard has."""

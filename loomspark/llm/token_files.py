@@ -24,7 +24,7 @@ from .words import chunks
 MANIFEST = "first_doc long, name string, n_docs long, n_tokens long, width int"
 
 
-def _place(uri: str) -> tuple[fs.FileSystem, str]:
+def place(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)
 
 
@@ -37,7 +37,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, width: int) -> Callable:
             if out is None:
                 # a retried or speculative task writes other files; only the manifest counts
                 name = f"part-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}"
-                where, path = _place(f"{folder}/{name}")
+                where, path = place(f"{folder}/{name}")
                 where.create_dir(path.rpartition("/")[0], recursive=True)
                 out = {k: where.open_output_stream(f"{path}.{k}") for k in ("bin", "off", "doc")}
                 out["off"].write(np.zeros(1, "<u8").tobytes())
@@ -82,7 +82,7 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 def open_ids(folder: str, name: str, kind: str, dtype: str) -> np.ndarray:
     """A file as an array: memory-mapped where it is on a mounted file system."""
-    where, path = _place(f"{folder}/{name}.{kind}")
+    where, path = place(f"{folder}/{name}.{kind}")
     if isinstance(where, fs.LocalFileSystem):
         return np.memmap(path, dtype, "r") if where.get_file_info(path).size else np.zeros(0, dtype)
     with where.open_input_file(path) as f:
