@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STRICT = {"mode": "FAILFAST", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+FAILFAST = {"mode": "FAILFAST", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 def encode(*columns: str | Column) -> Column:
@@ -16,13 +16,17 @@ def encode(*columns: str | Column) -> Column:
     return F.encode(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), "UTF-8")
 
 
-def decode(value: Column, ddl: str, *, strict: bool = True) -> Column:
+def decode(value: Column, ddl: str, mode: str = "failfast") -> Column:
     """A JSON object (bytes or string) as a typed struct.
 
-    ``strict`` raises on malformed input; otherwise such rows become structs of nulls. Both
-    ignore unknown keys and read a missing key as null. Null input gives null.
+    ``failfast`` raises where Spark's parser finds the input malformed; it accepts text behind the
+    object and gives null for empty input. ``strict`` raises on these too, by parsing every document
+    in full with Python first. ``permissive`` makes a struct of nulls of malformed input. All ignore
+    unknown keys and read a missing key as null. Null input gives null.
     """
-    return F.from_json(value.cast("string"), ddl, STRICT if strict else {"mode": "PERMISSIVE"})
+    if mode == "strict":
+        return F.from_json(canonical_json(value), ddl, FAILFAST)
+    return F.from_json(value.cast("string"), ddl, {"failfast": FAILFAST, "permissive": {"mode": "PERMISSIVE"}}[mode])
 
 
 def _canonical(values: pd.Series) -> pd.Series:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import decode, encode
+from ..functions import canonical_json, decode, encode, same_document
 from ..operators import insert_returning as insert_keyed
 from ..operators import key_violations, with_serial
 from ..session import scratch
@@ -48,6 +48,12 @@ def json_roundtrip_equal(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("event_id", (sent == back).alias("equal"))
 
 
+def json_strict(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents parsed in full, and whether they equal what is encoded of their decoded form."""
+    df = load(spark, sf, "events").select("event_id", "props", decode(F.col("props"), "k INT", "strict").alias("v"))
+    return df.select("event_id", canonical_json(F.col("props")).alias("document"), same_document(F.col("props"), encode(F.col("v.k").alias("k"))).alias("equal"))
+
+
 def _produced(spark: SparkSession, sf: str, partitions: int = 1) -> Log:
     df = load(spark, sf, "events").select("event_id", (F.col("user_id") % partitions).alias("p"), encode("event_id", "event_type").alias("value"))
     log = Log(spark, "events", partitions)
@@ -86,9 +92,9 @@ def insert_select_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _inserted(spark: SparkSession, sf: str) -> tuple[SessionTable, DataFrame]:
-    clicks = load(spark, sf, "events").where("event_type = 'click'").select("event_id", F.col("props").alias("value"))
-    table = SessionTable(spark, "clicks", "id INT, value STRING")
-    return table, insert_keyed(table, clicks, ["event_id"])
+    events = load(spark, sf, "events").select("event_id", F.col("props").alias("value"))
+    table = SessionTable(spark, "inserted", "id INT, value STRING")
+    return table, insert_keyed(table, events, ["event_id"])
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,7 +102,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return log_roundtrip_stream(spark, sf).where("event_type = 'error'")
 
 
-QUERIES = {f.__name__: f for f in (point_lookup, serial_assign, pk_violations, json_encode, json_encode_text, json_decode, json_roundtrip_equal, log_offsets, log_offsets_partitioned, log_roundtrip_stream, first_message, insert_returning, insert_select_roundtrip)}
+QUERIES = {f.__name__: f for f in (point_lookup, serial_assign, pk_violations, json_encode, json_encode_text, json_decode, json_roundtrip_equal, json_strict, log_offsets, log_offsets_partitioned, log_roundtrip_stream, first_message, insert_returning, insert_select_roundtrip)}
 
 _SENT_JSON = "'{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}'"
 
@@ -108,10 +114,11 @@ ORACLE = {
     "json_encode_text": "SELECT conv_id, turn, role, text FROM conversations",
     "json_decode": "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events",
     "json_roundtrip_equal": "SELECT event_id, true AS equal FROM events",
+    "json_strict": "SELECT event_id, '{\"k\": ' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' AS document, true AS equal FROM events",
     "log_offsets": "SELECT CAST(0 AS INTEGER) AS partition, row_number() OVER (ORDER BY event_id) - 1 AS \"offset\", event_id FROM events",
     "log_offsets_partitioned": "SELECT CAST(user_id % 3 AS INTEGER) AS partition, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) - 1 AS \"offset\", event_id FROM events",
     "log_roundtrip_stream": "SELECT event_id, event_type FROM events",
     "first_message": "SELECT event_id, event_type, value FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 1",
-    "insert_returning": "SELECT CAST(row_number() OVER (ORDER BY event_id) AS INTEGER) AS id, event_id FROM events WHERE event_type = 'click'",
-    "insert_select_roundtrip": "SELECT CAST(row_number() OVER (ORDER BY event_id) AS INTEGER) AS id, props AS value FROM events WHERE event_type = 'click'",
+    "insert_returning": "SELECT CAST(row_number() OVER (ORDER BY event_id) AS INTEGER) AS id, event_id FROM events",
+    "insert_select_roundtrip": "SELECT CAST(row_number() OVER (ORDER BY event_id) AS INTEGER) AS id, props AS value FROM events",
 }

@@ -1,2 +1,2 @@
-from .connectors import kafka_options, kafka_reader, jdbc_options, jdbc_reader  # noqa: F401
-from .tables import SessionTable, create_temp_table, load, point_lookup, scalar  # noqa: F401
+from .connectors import jdbc_options, jdbc_reader, kafka_reader, kafka_reader_options, kafka_write, kafka_writer_options  # noqa: F401
+from .tables import SessionTable, load, point_lookup, scalar  # noqa: F401

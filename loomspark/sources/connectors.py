@@ -24,10 +24,25 @@ def jdbc_reader(spark: SparkSession, table: str, url: str | None = None, *, part
     return reader.load()
 
 
-def kafka_options(topics: list[str], brokers: str | None = None) -> dict[str, str]:
-    """K5, K8, K9: strongest acknowledgement, from the earliest record, of a list of topics."""
-    return {"kafka.bootstrap.servers": brokers or env("KAFKA_BROKER", "localhost:9092"), "kafka.acks": "all", "subscribe": ",".join(topics), "startingOffsets": "earliest"}
+def kafka_options(brokers: str | None = None) -> dict[str, str]:
+    """What reader and writer share."""
+    return {"kafka.bootstrap.servers": brokers or env("KAFKA_BROKER", "localhost:9092")}
+
+
+def kafka_reader_options(topics: list[str], brokers: str | None = None) -> dict[str, str]:
+    """K8, K9: a list of topics from the earliest record."""
+    return kafka_options(brokers) | {"subscribe": ",".join(topics), "startingOffsets": "earliest"}
+
+
+def kafka_writer_options(topic: str, brokers: str | None = None) -> dict[str, str]:
+    """K5: one topic, with the strongest acknowledgement."""
+    return kafka_options(brokers) | {"kafka.acks": "all", "topic": topic}
 
 
 def kafka_reader(spark: SparkSession, topics: list[str], brokers: str | None = None) -> DataFrame:
-    return spark.readStream.format("kafka").options(**kafka_options(topics, brokers)).load()
+    return spark.readStream.format("kafka").options(**kafka_reader_options(topics, brokers)).load()
+
+
+def kafka_write(df: DataFrame, topic: str, brokers: str | None = None) -> None:
+    """K5, K6, K7: append the bytes of column ``value``; all records are acknowledged on return."""
+    df.select("value").write.format("kafka").options(**kafka_writer_options(topic, brokers)).save()

@@ -61,7 +61,3 @@ class SessionTable:
     def drop(self) -> None:
         self.spark.catalog.dropTempView(self.name)
         discard(self.spark, self.path)
-
-
-def create_temp_table(spark: SparkSession, name: str, ddl: str) -> SessionTable:
-    return SessionTable(spark, name, ddl)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.keys import part_of, place_in_part
 from ..session import discard, scratch, stored
 
 RECORD = "key BINARY, value BINARY, topic STRING, partition INT, offset BIGINT, timestamp TIMESTAMP, timestampType INT"
@@ -36,13 +37,14 @@ class Log:
         part = F.col(partition).cast("int") if partition else F.lit(0)
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         keyed = df.select(F.struct(*order).alias("o"), F.col(value).alias("value"), part.alias("partition"))
-        ranged = stored(keyed.repartitionByRange(n, "o").withColumn("slice", F.spark_partition_id()), "produce")
-        counts = ranged.groupBy("partition", "slice").agg(F.count("*").alias("n"))
+        ordered = stored(keyed.repartitionByRange(n, "o").sortWithinPartitions("partition", "o").withColumn("place", F.monotonically_increasing_id()), "produce")
+        ranged = ordered.select("value", "partition", part_of("place").alias("slice"), place_in_part("place").alias("place"))
+        counts = ranged.groupBy("partition", "slice").agg(F.count("*").alias("n"), F.min("place").alias("first"))
         ends = self.read().groupBy("partition").agg((F.max("offset") + 1).alias("end"))
         before = Window.partitionBy("partition").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
         # a row for each log partition and slice
-        bases = counts.join(ends, "partition", "left").select("partition", "slice", (F.coalesce(F.sum("n").over(before), F.lit(0)) + F.coalesce("end", F.lit(0))).alias("base"))
-        offset = F.row_number().over(Window.partitionBy("partition", "slice").orderBy("o")) - 1 + F.col("base")
+        bases = counts.join(ends, "partition", "left").select("partition", "slice", (F.coalesce(F.sum("n").over(before), F.lit(0)) + F.coalesce("end", F.lit(0)) - F.col("first")).alias("base"))
+        offset = F.col("place") + F.col("base")
         ranged.join(F.broadcast(bases), ["partition", "slice"]).select(
             F.lit(None).cast("binary").alias("key"), "value", F.lit(self.topic).alias("topic"), "partition", offset.cast("bigint").alias("offset"), F.current_timestamp().alias("timestamp"), F.lit(0).alias("timestampType")
         ).write.mode("append").parquet(self.path)

@@ -11,7 +11,7 @@ from loomspark.functions import canonical_json, decode, encode, health, same_doc
 from loomspark.operators import assert_key, insert_returning, key_violations, with_serial
 from loomspark.plans.queries import ORACLE, QUERIES, flagship
 from loomspark.session import scratch
-from loomspark.sources import SessionTable, jdbc_reader, kafka_options, point_lookup, scalar
+from loomspark.sources import SessionTable, jdbc_reader, kafka_reader_options, kafka_writer_options, point_lookup, scalar
 from loomspark.streaming import Log, await_or_fail
 
 SF = "/root/testdata/sf0.001"
@@ -84,9 +84,12 @@ def test_json_strictness(spark):
     for bad in (b"{oops", b"", b'{"a":"x"} trailing', b'{"a":"\xff"}'):
         with pytest.raises(Exception):
             one(bad).select(canonical_json(F.col("v"))).collect()
+        with pytest.raises(Exception):
+            one(bad).select(decode(F.col("v"), "a STRING", "strict")).collect()
+    assert one(b'{"a":"x"} trailing').select(decode(F.col("v"), "a STRING")["a"].alias("a")).first().a == "x"
     with pytest.raises(Exception):
         one(b"{'a':'x'}").select(decode(F.col("v"), "a STRING")).collect()
-    assert one(b"{oops").select(decode(F.col("v"), "a STRING", strict=False)["a"].alias("a")).first().a is None
+    assert one(b"{oops").select(decode(F.col("v"), "a STRING", "permissive")["a"].alias("a")).first().a is None
     pair = spark.createDataFrame([(b'{"a":1,"b":2}', b'{ "b":2, "a":1}', b'{"a":1,"b":2,"c":3}')], "x BINARY, y BINARY, z BINARY")
     assert tuple(pair.select(same_document(F.col("x"), F.col("y")), same_document(F.col("x"), F.col("z"))).first()) == (True, False)
 
@@ -117,4 +120,5 @@ def test_connectors(spark):
     driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     spark.range(5).selectExpr("id", "CAST(id AS STRING) AS v").write.format("jdbc").options(url=url, dbtable="t", **driver).save()
     assert jdbc_reader(spark, "t", url, partition_column="id", bounds=(0, 5), partitions=2, **driver).where("id = 3").first().v == "3"
-    assert kafka_options(["a", "b"])["subscribe"] == "a,b"
+    assert kafka_reader_options(["a", "b"])["subscribe"] == "a,b"
+    assert kafka_writer_options("a")["kafka.acks"] == "all" and "subscribe" not in kafka_writer_options("a")
