@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .bounded import unused
 
 #: Sources with means up to this have a table of their distribution; with larger ones it is summed for each row.
 MOST = 10_000
@@ -93,20 +94,22 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, *, power: fl
     ``weights`` are shares of the result's characters by source; sources that it doesn't name
     share the rest by their size, and None weighs every source by its size to the ``power``.
     All columns stay; ``copy`` (from 1), ``n_copies`` and ``shuffle_key`` are added (columns of
-    these names are replaced). Rows are dealt to partitions by the hashed key and sorted by it
+    these names are replaced; any other name may occur). Rows are dealt to partitions by the hashed key and sorted by it
     within each. A null source counts as '', a null or empty text as one character; rows with
-    the same doc_id and source get the same number of copies; an empty table gives no rows.
+    the same doc_id and source, repeated rows among them, get the same number of copies each; an empty table gives no rows.
     """
     spark, own = docs.sparkSession, ["copy", "n_copies", "shuffle_key"]
     docs = docs.drop(*own)
     rates = source_rates(docs, weights, power, epochs)
+    source, rate, cdf, block_no = (unused(docs, c) for c in ("__source", "__rate", "__cdf", "__block"))
+    rates = rates.toDF(source, rate, cdf)
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     uniform = (hashed(str(seed), F.col("doc_id"), digits=13) + F.lit(0.5)) / F.lit(float(1 << 52))
-    n = F.when(F.col("__cdf").isNotNull(), F.size(F.filter("__cdf", lambda c: c < uniform))).otherwise(poisson_inverse(F.col("__rate"), uniform))
-    counted = docs.withColumn("__source", F.coalesce("source", F.lit(""))).join(rates, "__source").withColumn("n_copies", n).where("n_copies > 0")
-    blocks = counted.select(*docs.columns, "n_copies", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_copies") - 1) / BLOCK).cast("int"))).alias("__block"))
-    block = F.sequence(F.col("__block") * BLOCK + 1, F.least((F.col("__block") + 1) * BLOCK, F.col("n_copies")))
+    n = F.when(F.col(cdf).isNotNull(), F.size(F.filter(cdf, lambda c: c < uniform))).otherwise(poisson_inverse(F.col(rate), uniform))
+    counted = docs.withColumn(source, F.coalesce("source", F.lit(""))).join(rates, source).withColumn("n_copies", n).where("n_copies > 0")
+    blocks = counted.select(*docs.columns, "n_copies", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_copies") - 1) / BLOCK).cast("int"))).alias(block_no))
+    block = F.sequence(F.col(block_no) * BLOCK + 1, F.least((F.col(block_no) + 1) * BLOCK, F.col("n_copies")))
     copies = blocks.select(*docs.columns, "n_copies", F.explode(block).alias("copy"))
     keyed = copies.withColumn("shuffle_key", hashed(str(seed), F.col("doc_id"), F.col("copy"), digits=15))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
