@@ -440,14 +440,161 @@ def test_embedding_audit(groups):
     assert set(zip(a.tolist(), b.tolist())) == set(zip(*(v.tolist() for v in np.nonzero(x @ x.T >= 0.95))))
 
 
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    want = Counter((r.doc_id, len(ids_of(r.text))) for r in docs.collect())
-    sizes = defaultdict(int)
-    got = corpus_pipeline.run(spark, SF).collect()
-    for r in got:
+def test_dual_descent():
+    """The hinge-loss fit against projected gradient steps on the whole dual: the same objective."""
+    r = np.random.default_rng(5)
+    n, size = 60, 25
+    rows = [np.flatnonzero(r.random(size) < 0.3).astype(np.int32) for _ in range(n)]
+    scale, y, cost = r.normal(size=size), np.where(r.random(n) < 0.5, 1.0, -1.0), r.uniform(0.05, 0.5, n)
+    w, bias = nbsvm.dual_descent(rows, scale, y, cost, epochs=2000)
+    x = np.zeros((n, size + 1))
+    x[:, -1] = 1
+    for i, f in enumerate(rows):
+        x[i, f] = scale[f]
+    v = np.append(w, bias)
+    q = (y[:, None] * x) @ (y[:, None] * x).T
+    alpha, step = np.zeros(n), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(20_000):
+        alpha = np.clip(alpha + step * (1 - q @ alpha), 0, cost)
+    assert v @ v / 2 + (cost * np.maximum(0, 1 - y * (x @ v))).sum() == pytest.approx(alpha.sum() - alpha @ q @ alpha / 2, rel=1e-3)
+
+
+def test_log_ratios():
+    """Two features, each in both texts of one class: shares 3 and 1 of one sum, weights at their bound."""
+    model = nbsvm.fit([np.array([f], np.int32) for f in (0, 0, 1, 1)], np.array([1, 1, 0, 0]))
+    assert model.weight[0] == pytest.approx(0.2 * math.log(3) ** 2, rel=1e-5) and model.weight[1] == pytest.approx(-model.weight[0], rel=1e-5)
+    assert not model.weight[2:].any()
+
+
+def test_classifier_edges(spark, docs, empty):
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    model = nbsvm.train(docs, labels)
+    rows = docs.union(docs.where("doc_id < 3")).withColumns({"score": F.lit("own"), "label": F.lit(1)})
+    got = Counter(x.doc_id for x in nbsvm.score(rows, model).collect())
+    assert got == Counter({d: 2 if d < 3 else 1 for d, *_ in made()})
+    assert nbsvm.score(empty, model).count() == 0
+
+
+def test_clashing_columns(spark):
+    names = ["gone", "own", "__source", "__rate", "__cdf", "__block", "copies", "lines"]
+    df = spark.createDataFrame([(1, "one line here\none line here", "a"), (1, "one line here\none line here", "a")], "doc_id int, text string, source string").withColumns({n: F.lit(n) for n in names})
+    got = line_dedup.dedup(df).collect()
+    assert len(got) == 2 and all(r.text == "one line here" and r.n_removed == 1 and all(r[n] == n for n in names) for r in got)
+    assert all(r[n] == n for r in mixing.mixed(df, epochs=9.0).collect() for n in names)
+
+
+def test_many_lines(spark):
+    """Time in proportion to the lines of a text, of which all but one repeat."""
+    text = "the same line again\n" * 60_000 + "and another one"
+    row = line_dedup.dedup(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.text, row.n_lines, row.n_removed) == ("the same line again\nand another one", 60_001, 59_999)
+
+
+def test_embedding_layers():
+    """A shard of three layers, saved and loaded: links within it and with another one, by brute force."""
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(900, 12))
+    x = np.concatenate([centres + 0.05 * r.normal(size=centres.shape) for _ in range(22)])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    files = {}
+
+    def shard(rows, name):
+        g = hnsw.Graph(unit[rows].astype(np.float32))
+        g.audit(0.97, 0.99, 256)
+        g.save(lambda k, v: files.__setitem__((name, k), v))
+        s = embedding_dedup._Shard.__new__(embedding_dedup._Shard)
+        s.ids, s.weights, s.unit, s.graph = rows, np.full(len(rows), 2), unit[rows], hnsw.Graph.load(lambda k: files[name, k])
+        return s
+
+    p, q = shard(np.arange(0, 18_000), "p"), shard(np.arange(18_000, len(x)), "q")
+    assert len(p.graph.sizes) == 3 or len(p.graph.sizes) == 2
+    for one, two in ((q, q), (p, q)):
+        weight, labels = embedding_dedup.linked(one, two, 0.97)
+        a, b = one.unit, two.unit
+        true = a @ b.T >= 0.97
+        if one is two:
+            np.fill_diagonal(true, False)
+        want = 2 * (true.sum(1) if one is two else np.concatenate([true.sum(1), true.sum(0)]))
+        assert weight.sum() >= 0.97 * want.sum() and (weight <= want).all()
+
+
+def within(a, b, k):
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    a, b = a[i:], b[i:]
+    if not a or not b:
+        return len(a) + len(b) <= k
+    return k > 0 and (within(a[1:], b, k - 1) or within(a, b[1:], k - 1) or within(a[1:], b[1:], k - 1))
+
+
+def test_pipeline(spark, tmp_path):
+    """All five stages in plain Python."""
+    rows = [(d, t, lang, s, n) for d, t, _, s, lang, n in made(seed=11, n=90)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    texts, source = {}, {}
+    for d, t, _, s, _ in rows:  # quality rules
+        t = t or ""
+        w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        c = Counter(zip(w, w[1:], w[2:]))
+        cover = {j for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        m = {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(ch in "#*$%&|<>" for ch in t), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(cover), "n_lines": len(lines), "n_upper": sum("A" <= ch <= "Z" for ch in t), "n_letters": len(re.findall("[A-Za-z]", t))}
+        if not any(eval(fails.replace("AND", "and"), m) for _, fails in quality_rules.RULES):
+            texts[d], source[d] = t, s or ""
+    refs = defaultdict(list)
+    for d, t in texts.items():  # lines
+        for i, x in enumerate(t.split("\n")):
+            if WORD.search(x):
+                refs[x].append((d, i))
+    lines, u = sorted(refs), Sets(refs)
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            k = min(2, min(len(a), len(b)) // 10)
+            if abs(len(a) - len(b)) <= k and within(a, b, k):
+                u.join(a, b)
+    classes = defaultdict(list)
+    for x in lines:
+        classes[u.root(x)] += refs[x]
+    gone = {ref for c in classes.values() for ref in sorted(c)[1:]}
+    texts = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in texts.items()}
+    texts = {d: t for d, t in texts.items() if WORD.search(t)}
+    sets, u = {}, Sets(texts)  # near duplicates
+    for d, t in texts.items():
+        w = WORD.findall(t.translate({i: i + 32 for i in range(65, 91)}))
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                u.join(a, b)
+    texts = {d: t for d, t in texts.items() if u.root(d) == d}
+    mass = Counter()  # mixing
+    for d, t in texts.items():
+        mass[source[d]] += len(t) + 1
+    root = sum(math.sqrt(m) for m in mass.values())
+    want = {}
+    for d, t in texts.items():
+        mean = math.sqrt(mass[source[d]]) / root * sum(mass.values()) / mass[source[d]]
+        p = (int(hashlib.md5(f"17:{d}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        n, term, c = 0, math.exp(-mean), math.exp(-mean)
+        while c < p:
+            n += 1
+            term *= mean / n
+            c += term
+        if n:
+            want[d] = n * len(ids_of(t))
+    sizes, places = Counter(), defaultdict(list)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         sizes[r.doc_id] += r.length
-    assert sizes == {d: n * c for (d, n), c in want.items()}
+        places[r.sequence_id].append((r.offset, r.length))
+    assert sizes == want and 10 < len(want) < 90
+    for s in places.values():
+        s.sort()
+        assert s[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(s, s[1:])) and sum(n for _, n in s) <= 2048
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """No row, and rows of which none is kept."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for i, rows in enumerate([[], [(1, None, None, None, None), (2, "", "en", "a", 0), (2, "", "en", "a", 0)]]):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{i}/documents.parquet")
+        assert corpus_pipeline.run(spark, f"{tmp_path}/{i}").count() == 0
