@@ -15,12 +15,15 @@ from loomspark.session import stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy rejects go."""
+    """Documents that the current policy rejects go, null, empty and wordless texts among them (they have
+    too few words). Repeated rows are each judged alike; an empty table stays empty; all columns stay."""
     return quality_rules.keep(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, and with them documents of which no word is left."""
+    """Repeated lines go, and with them documents of which no word is left (null and empty texts too).
+    Of equal lines the first by (doc_id, line number) stays, so of a repeated row nothing is lost twice:
+    rows that share a doc_id are one document. Any column names may occur; an empty table stays empty."""
     clean = line_dedup.dedup(docs).select(*docs.columns)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast("long"))
@@ -28,17 +31,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
+    """One document of each group of near duplicates stays, the one with the smallest doc_id. Of rows that
+    share a doc_id one stays; rows with a null doc_id or without words stay. All columns stay."""
     return jaccard.keep_first(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are brought to their target weights by repeating documents."""
+    """Sources are brought to their target weights by repeating documents, or leaving them out where the drawn
+    count is 0. A null source is a source of its own, an empty text counts one character; rows with the
+    same doc_id and source get the same count. Any column names may occur; an empty table stays empty."""
     return mixing.mixed(docs).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are tokenized and packed into sequences."""
+    """Documents are tokenized and packed into sequences; a null or empty text is its end id alone, a text of
+    more than 2048 ids is cut, and every repeated row is packed on its own. Other columns are dropped;
+    an empty table gives no pieces."""
     pieces = packing.packed(docs, default_tokenizer())
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
