@@ -257,9 +257,10 @@ def test_components(spark):
     assert got == {i: 0 for i in range(31)} | {100: 0, 50: 50, 51: 50, 52: 50}
 
 
-def test_substrings(spark, docs, empty):
+def without_repeats(rows):
+    """What op6 leaves of (doc_id, text) rows in rising doc_id order: words, removed words, kept text."""
     first, want = set(), {}
-    for d, text, *_ in made():
+    for d, text in rows:
         w = WORD.findall(text or "")
         gone = set()
         for i in range(len(w) - 19):
@@ -267,11 +268,54 @@ def test_substrings(spark, docs, empty):
             gone |= set(range(i, i + 20)) if key in first else set()
             first.add(key)
         want[d] = (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
+    return want
+
+
+def test_substrings(spark, docs, empty):
+    want = without_repeats([(d, text) for d, text, *_ in made()])
     assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substrings.dedup(docs).collect()} == want
     assert any(v[1] for v in want.values())
     assert substrings.dedup(empty).count() == 0
 
 
+def test_substring_branches(spark):
+    """Passages that end, begin, fork, join, swap and circle at every place of each other."""
+    r = random.Random(11)
+    fresh = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    a, b, c, circle = fresh(400), fresh(90), fresh(25), fresh(7)
+    texts = [a, a[100:300], [*a[:150], *b, *a[150:]], [*b, *c, *b], [*c, *a[390:], *a[:40]], circle * 30, [*circle * 9, *b[:50]], ["x"] * 70, ["x"] * 45 + c, a + a]
+    for _ in range(40):
+        copy = list(r.choice(texts[:8]))
+        for _ in range(r.randrange(3)):
+            copy[r.randrange(len(copy))] = "edit"
+        lo = r.randrange(len(copy))
+        texts.append([*fresh(r.randrange(5)), *copy[lo : lo + r.randrange(10, 300)], *fresh(r.randrange(3))])
+    rows = [(i, r.choice([" ", "\n", " \t "]).join(t)) for i, t in enumerate(texts)]
+    got = {x.doc_id: (x.n_words, x.n_removed, x.text) for x in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == without_repeats(rows)
+
+
+def test_stretches(spark):
+    """Paths 1 to 6 are one stretch, 7 is forked, 8 is of one document only, 9 goes into 1 without being its only way in."""
+    chain = [(i, 0, 5, i + 1 if i < 6 else 0, i - 1) for i in range(1, 7)]
+    rows = [*chain, (7, 0, 5, 0, 0), (8, 3, 3, 9, 0), (9, 3, 5, 1, 0)]
+    units = spark.createDataFrame(rows, "path long, first long, last long, after long, before long")
+    assert {(x.path, x.first, x.size) for x in substrings._stretches(units).collect()} == {(1, 0, 6), (7, 0, 1), (9, 3, 1)}
+
+
+def test_substring_digests():
+    """A place whose words are not those of the source stays, whatever its path keys say."""
+    text = " ".join(f"w{i}" for i in range(60))
+    batch = lambda heads, sizes, digest: pa.RecordBatch.from_pylist([{"doc_id": 2, "text": text, "heads": heads, "sizes": sizes, "d1": [digest[0]], "d2": [digest[1]], "windows": [0]}])
+    source = next(substrings._paths(20)(iter([pa.RecordBatch.from_pylist([{"doc_id": 1, "text": text}])])))
+    before, keys = source.column("before").to_pylist(), source.column("path").to_pylist()
+    head = [keys[before.index(0)]]
+    right = next(substrings._digests(20)(iter([batch(head, [len(keys)], (0, 0))]))).to_pylist()[0]
+    removed = lambda d: next(substrings._cleaned(20)(iter([batch(head, [len(keys)], d)]))).column("n_removed").to_pylist()
+    assert removed((right["d1"], right["d2"])) == [60]
+    assert removed((right["d1"], right["d2"] ^ 1)) == [0]
+
+
 def test_classifier(spark):
     r = random.Random(4)
     good = lambda: " ".join(r.choice(["abc", "def", "ghi", "jkl"]) for _ in range(40))
