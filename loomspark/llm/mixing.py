@@ -8,6 +8,8 @@ result on any cluster.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ MOST = 10_000
 BLOCK = 10_000
 #: Sources up to this many are broadcast (some tens of MB); more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
+#: Characters that a partition of the result has, about; it has as many partitions as the session shuffles to at least.
+PARTITION_CHARS = 128 << 20
 
 
 def hashed(*parts: Column | str, digits: int) -> Column:
@@ -66,7 +70,7 @@ def poisson_inverse(mean: Column, uniform: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None, power: float, epochs: float) -> DataFrame:
-    """A row for each source: its rate and, up to a rate of MOST, its Poisson table (null beyond)."""
+    """A row for each source: its rate, up to a rate of MOST its Poisson table (null beyond), and the characters expected of it."""
     source = F.coalesce("source", F.lit("")).alias("__source")
     mass = (F.coalesce(F.length("text"), F.lit(0)) + 1).cast("long")
     # a few rows for each task reach the shuffle, however many rows a source has
@@ -85,7 +89,8 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, power: float
         total = weighted.agg(F.sum("mass").alias("total"), F.sum(rest).alias("rests"))
         rated = weighted.crossJoin(F.broadcast(total)).withColumn("weight", F.coalesce("named", F.lit(max(0.0, left)) * F.col("mass") / F.col("rests")))
     rate = F.lit(float(epochs)) * F.col("weight") * F.col("total") / F.col("mass")
-    return stored(rated.select("__source", rate.alias("__rate")).withColumn("__cdf", F.when(F.col("__rate") <= MOST, poisson_table(F.col("__rate")))), "rates")
+    rated = rated.select("__source", rate.alias("__rate"), (rate * F.col("mass")).alias("chars"))
+    return stored(rated.withColumn("__cdf", F.when(F.col("__rate") <= MOST, poisson_table(F.col("__rate")))).select("__source", "__rate", "__cdf", "chars"), "rates")
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, *, power: float = 0.5, epochs: float = 1.0, seed: int = 17) -> DataFrame:
@@ -102,8 +107,9 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, *, power: fl
     docs = docs.drop(*own)
     rates = source_rates(docs, weights, power, epochs)
     source, rate, cdf, block_no = (unused(docs, c) for c in ("__source", "__rate", "__cdf", "__block"))
-    rates = rates.toDF(source, rate, cdf)
-    if rates.count() <= BROADCAST_SOURCES:
+    n_sources, chars = rates.agg(F.count("*"), F.coalesce(F.sum("chars"), F.lit(0.0))).first()
+    rates = rates.drop("chars").toDF(source, rate, cdf)
+    if n_sources <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     uniform = (hashed(str(seed), F.col("doc_id"), digits=13) + F.lit(0.5)) / F.lit(float(1 << 52))
     n = F.when(F.col(cdf).isNotNull(), F.size(F.filter(cdf, lambda c: c < uniform))).otherwise(poisson_inverse(F.col(rate), uniform))
@@ -112,5 +118,5 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, *, power: fl
     block = F.sequence(F.col(block_no) * BLOCK + 1, F.least((F.col(block_no) + 1) * BLOCK, F.col("n_copies")))
     copies = blocks.select(*docs.columns, "n_copies", F.explode(block).alias("copy"))
     keyed = copies.withColumn("shuffle_key", hashed(str(seed), F.col("doc_id"), F.col("copy"), digits=15))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / PARTITION_CHARS))
     return keyed.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")
