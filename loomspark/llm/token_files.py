@@ -2,9 +2,9 @@
 
 A set of files is one folder. For each range of doc_id it has ``<name>.bin`` (the ids in a row,
 little-endian unsigned integers of 2 or 4 bytes), ``<name>.off`` (n + 1 unsigned 64-bit offsets
-counted in ids from the file's start) and ``<name>.doc`` (n signed 64-bit doc_ids). ``manifest``
-is a Parquet table with a row for each range; a range's base in the whole corpus is the prefix
-sum of the ids before it.
+counted in ids from the file's start) and ``<name>.doc`` (n signed 64-bit doc_ids, 0 for null).
+``manifest`` is a Parquet table with a row for each range; a range's base in the whole corpus is the
+prefix sum of the ids before it. Null doc_ids come first in a range, and ``n_nulls`` counts them.
 """
 
 from __future__ import annotations
@@ -21,7 +21,13 @@ from pyspark.sql import functions as F
 from .tokens import Encoder
 from .words import chunks
 
-MANIFEST = "first_doc long, name string, n_docs long, n_tokens long, width int"
+MANIFEST = "first_doc long, name string, n_docs long, n_nulls long, n_tokens long, width int"
+#: Bytes of text in a range, about; there are as many ranges as the session has shuffle partitions at least.
+RANGE_BYTES = 256 << 20
+#: Documents that ``read`` deals together.
+SLICE_DOCS = 1 << 16
+#: Ids that are held at once in reading; a longer document is held alone.
+IDS = 1 << 20
 
 
 def place(uri: str) -> tuple[fs.FileSystem, str]:
@@ -31,7 +37,7 @@ def place(uri: str) -> tuple[fs.FileSystem, str]:
 def _writer(folder: str, tokenizer: str, end_id: int, width: int) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, out = Encoder.of(tokenizer), None
-        n_docs = n_tokens = 0
+        n_docs = n_nulls = n_tokens = 0
         first = None
         for batch, data, offsets in chunks(batches):
             if out is None:
@@ -49,25 +55,27 @@ def _writer(folder: str, tokenizer: str, end_id: int, width: int) -> Callable:
                 raise ValueError("an id takes more than 2 bytes")
             out["bin"].write(ids.astype(f"<u{width}").tobytes())
             out["off"].write((ends + np.arange(1, len(ends) + 1) + n_tokens).astype("<u8").tobytes())
-            out["doc"].write(np.asarray(batch.column("doc_id").fill_null(-(1 << 63)), "<i8").tobytes())
-            n_docs, n_tokens = n_docs + len(sizes), n_tokens + len(ids)
+            out["doc"].write(np.asarray(batch.column("doc_id").fill_null(0), "<i8").tobytes())
+            n_docs, n_nulls, n_tokens = n_docs + len(sizes), n_nulls + batch.column("doc_id").null_count, n_tokens + len(ids)
         if out is not None:
             for f in out.values():
                 f.close()
-            yield pa.RecordBatch.from_pylist([{"first_doc": first, "name": name, "n_docs": n_docs, "n_tokens": n_tokens, "width": width}], pa.schema([("first_doc", pa.int64()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())]))
+            yield pa.RecordBatch.from_pylist([{"first_doc": first, "name": name, "n_docs": n_docs, "n_nulls": n_nulls, "n_tokens": n_tokens, "width": width}], pa.schema([("first_doc", pa.int64()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_nulls", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())]))
 
     return write
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 0, width: int = 2) -> None:
+def write(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 0, width: int = 2, range_bytes: int = RANGE_BYTES) -> None:
     """Encode ``docs`` (doc_id, text) into files below ``folder``, a folder all executors share.
 
     Rows are range-partitioned and sorted by doc_id (null first; rows with equal doc_ids stay
     together, in the order of their texts), each partition is one range, and a document is its ids and ``end_id``.
-    A null or empty text is the end id alone. A lost task is written again under another name.
+    A range has about ``range_bytes`` of text, or less. A null or empty text is the end id alone. A lost task
+    is written again under another name.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_writer(folder, tokenizer, end_id, width), MANIFEST).write.parquet(f"{folder}/manifest")
 
@@ -80,35 +88,48 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return ranges.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
-def open_ids(folder: str, name: str, kind: str, dtype: str) -> np.ndarray:
-    """A file as an array: memory-mapped where it is on a mounted file system."""
-    where, path = place(f"{folder}/{name}.{kind}")
-    if isinstance(where, fs.LocalFileSystem):
-        return np.memmap(path, dtype, "r") if where.get_file_info(path).size else np.zeros(0, dtype)
-    with where.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+class Numbers:
+    """A file of numbers, memory-mapped where it is on a mounted file system and read by places elsewhere."""
 
+    def __init__(self, folder: str, name: str, kind: str, dtype: str):
+        where, path = place(f"{folder}/{name}.{kind}")
+        self.dtype, self.file, self.map = np.dtype(dtype), None, None
+        if not isinstance(where, fs.LocalFileSystem):
+            self.file = where.open_input_file(path)
+        else:
+            self.map = np.memmap(path, dtype, "r") if where.get_file_info(path).size else np.zeros(0, dtype)
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
+    def __getitem__(self, at: slice) -> np.ndarray:
+        if self.map is not None:
+            return self.map[at]
+        return np.frombuffer(self.file.read_at((at.stop - at.start) * self.dtype.itemsize, at.start * self.dtype.itemsize), self.dtype)
+
+
+def read(spark: SparkSession, folder: str, *, slice_docs: int = SLICE_DOCS) -> DataFrame:
     """Every document of the files: doc_id, start (ids of all documents before it), n_tokens,
-    and ``ids``, its ids as little-endian unsigned 32-bit integers."""
+    and ``ids``, its ids as little-endian unsigned 32-bit integers. Tasks take ``slice_docs`` documents of a
+    file at a time and read only their places in it."""
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids = open_ids(folder, r["name"], "bin", f"<u{r['width']}")
-                off = open_ids(folder, r["name"], "off", "<u8").astype(np.int64)
-                doc = open_ids(folder, r["name"], "doc", "<i8")
+                ids, lo = Numbers(folder, r["name"], "bin", f"<u{r['width']}"), r["lo"]
+                n = min(slice_docs, r["n_docs"] - lo)
+                off = Numbers(folder, r["name"], "off", "<u8")[lo : lo + n + 1].astype(np.int64)
+                doc = Numbers(folder, r["name"], "doc", "<i8")[lo : lo + n]
                 at = 0
-                while at < len(doc):
-                    to = max(at + 1, int(np.searchsorted(off, off[at] + (1 << 20), "right")) - 1)
-                    part = ids[off[at] : off[to]].astype("<u4")
+                while at < n:
+                    to = min(n, max(at + 1, int(np.searchsorted(off, off[at] + IDS, "right")) - 1))
+                    part = ids[int(off[at]) : int(off[to])].astype("<u4")
                     cuts = ((off[at : to + 1] - off[at]) * 4).astype(np.int32)
                     blob = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(cuts), pa.py_buffer(part)])
-                    own = pa.array(doc[at:to], pa.int64(), mask=np.asarray(doc[at:to] == -(1 << 63)))
+                    own = pa.array(doc[at:to], pa.int64(), mask=np.arange(lo + at, lo + to) < r["n_nulls"])
                     yield pa.RecordBatch.from_arrays([own, pa.array(off[at:to] + r["base"]), pa.array(np.diff(off[at : to + 1])), blob], ["doc_id", "start", "n_tokens", "ids"])
                     at = to
 
     files = manifest(spark, folder)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return files.select("name", "width", "base").repartition(parts).mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")
+    # the files are dealt by slices of documents, and by more tasks the more slices there are
+    slices = files.select("name", "width", "base", "n_docs", "n_nulls", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(slice_docs).cast("long"))).alias("lo"))
+    n = files.agg(F.sum(F.ceil(F.col("n_docs") / slice_docs))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 16)
+    return slices.repartition(parts).mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")

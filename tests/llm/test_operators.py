@@ -13,6 +13,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -339,6 +340,13 @@ def test_mixing(spark, docs, empty):
     assert np.allclose(c[:5], np.cumsum([math.exp(-3) * 3**k / math.factorial(k) for k in range(5)]))
 
 
+def test_mixing_partitions(spark, monkeypatch):
+    """The partitions of the result follow its characters."""
+    monkeypatch.setattr(mixing, "PARTITION_CHARS", 1000)
+    df = spark.createDataFrame([(i, "x" * 99, "a") for i in range(300)], "doc_id long, text string, source string")
+    assert mixing.mixed(df).rdd.getNumPartitions() == 30
+
+
 def test_mixing_large_mean(spark):
     """A source of little text in a large table: its mean is above what a table of the distribution holds."""
     rows = [(1, "x" * 60_000, "a"), (2, None, None), (3, "", "b")]
@@ -400,6 +408,30 @@ def test_token_files(spark, docs, empty):
     assert token_files.read(spark, folder).count() == 0
 
 
+def test_token_file_slices(spark):
+    """Small ranges, files read by few documents at a time, repeated rows, and the smallest doc_id beside null ones."""
+    rows = [(None, "a"), (None, "b"), (-(1 << 63), "c d"), *((i // 2, f"text number {i // 4} " * (i % 7)) for i in range(200))]
+    folder = scratch(spark, "t")
+    token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), folder, default_tokenizer(), range_bytes=400)
+    assert token_files.manifest(spark, folder).count() > 12
+    got = sorted(token_files.read(spark, folder, slice_docs=3).collect(), key=lambda r: r.start)
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    start = 0
+    for r, (d, text) in zip(got, want, strict=True):
+        ids = np.array(ids_of(text), "<u4")
+        assert (r.doc_id, r.start, r.n_tokens, bytes(r.ids)) == (d, start, len(ids), ids.tobytes())
+        start += len(ids)
+
+
+def test_token_numbers(tmp_path, monkeypatch):
+    """Places of a file are read alike by memory map and from a store."""
+    np.arange(50, dtype="<u2").tofile(tmp_path / "x.bin")
+    assert token_files.Numbers(str(tmp_path), "x", "bin", "<u2")[7:12].tolist() == [7, 8, 9, 10, 11]
+    store = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    monkeypatch.setattr(token_files, "place", lambda uri: (store, "x.bin"))
+    assert token_files.Numbers("", "x", "bin", "<u2")[7:12].tolist() == [7, 8, 9, 10, 11]
+
+
 def test_packing(spark, docs, empty):
     for rule, more in (("norm", {}), ("dot", {"documents": 3, "attention": 40_000})):
         got = packing.packed(docs.union(docs.where("doc_id = 1")), default_tokenizer(), tokens=256, rule=rule, **more).collect()
