@@ -14,10 +14,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import Encoder
+from .tokens import CHUNK, Encoder
 from .words import U, chunks, mix
 
 #: A shard has about so many bytes of text, or so many documents, whichever is fewer.
@@ -58,7 +59,7 @@ def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple
 def _pieces(tokenizer: str, end_id: int, most: int, shards: int) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = Encoder.of(tokenizer), {}
-        for batch, data, offsets in chunks(batches):
+        for batch, data, offsets in chunks(batches, limit=CHUNK):
             ids, sizes = encoder.encode(data, offsets)
             ids = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4")
             sizes = sizes + 1
@@ -103,8 +104,9 @@ def packed(docs: DataFrame, tokenizer: str, *, tokens: int = 2048, documents: in
 
     def place(table: pa.Table) -> pa.Table:
         # order by content, so that a second run of a lost task packs alike
-        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
-        sequence, offset = best_fit(table.column("length").to_numpy(), capacity, weights, rule)
+        order = pc.sort_indices(table.drop_columns(["ids"]), [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]).to_numpy()
+        sequence, offset = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        sequence[order], offset[order] = best_fit(table.column("length").to_numpy()[order], capacity, weights, rule)
         shard = np.asarray(table.column("shard"), np.int64)
         return table.drop_columns(["shard"]).append_column("sequence_id", pa.array((shard << 32) + sequence)).append_column("offset", pa.array(offset))
 

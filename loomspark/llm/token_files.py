@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tokens import Encoder
+from .tokens import CHUNK, Encoder
 from .words import chunks
 
 MANIFEST = "first_doc long, name string, n_docs long, n_nulls long, n_tokens long, width int"
@@ -39,7 +39,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, width: int) -> Callable:
         encoder, out = Encoder.of(tokenizer), None
         n_docs = n_nulls = n_tokens = 0
         first = None
-        for batch, data, offsets in chunks(batches):
+        for batch, data, offsets in chunks(batches, limit=CHUNK):
             if out is None:
                 # a retried or speculative task writes other files; only the manifest counts
                 name = f"part-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}"

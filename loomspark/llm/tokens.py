@@ -18,9 +18,11 @@ import numpy as np
 from .words import U, blocks, blocks_hash
 
 #: Pieces that a worker remembers; the table is emptied when it is full.
-REMEMBERED = 1 << 19
-_SLOT_BITS = 20
+REMEMBERED = 1 << 17
+_SLOT_BITS = 18
 _SLOTS = 1 << _SLOT_BITS
+#: Bytes of text to encode at once: what numpy holds for them is some 80 times as much.
+CHUNK = 1 << 18
 
 # Classes of characters; OTHER is what the first bytes don't tell, DARK is no white space for sure.
 OTHER, LETTER, DIGIT, MARK, APOSTROPHE, BLANK, FEED, DARK = range(8)
