@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ..session import scratch
-from . import embedding_dedup, jaccard, licenses, line_dedup, mixing, nbsvm, packing, quality_rules, substrings, token_files
+from . import decontaminate, embedding_dedup, jaccard, licenses, line_dedup, mixing, nbsvm, packing, prefix_trie, quality_rules, substrings, token_files, whitening
 from .tokens import default_tokenizer
 
 
@@ -66,6 +66,21 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    rows, conversations = prefix_trie.grafted(prefix_trie.turns(spark.read.parquet(f"{sf}/conversations.parquet")))
+    return prefix_trie.trie(rows, conversations)
+
+
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+def op13_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.search(_documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, h: s + h["length"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -79,9 +94,13 @@ QUERIES = {
         op8_token_files,
         op9_license_scan,
         op10_packing,
+        op11_prefix_trie,
+        op12_whitening,
+        op13_decontamination,
     )
 } | {"pipeline": corpus_pipeline.run}
 _WORD = "[^\\x20\\x09-\\x0D]"
+_BENCH_WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"
 _RULES_SQL = [(1 << i, fails) for i, (_, fails) in enumerate(quality_rules.RULES)]
 
 _OP1 = f"""
@@ -201,4 +220,65 @@ SELECT doc_id, sha256(array_to_string(lines, ' ')) AS digest, license_id, coales
 FROM d LEFT JOIN known ON known.digest = sha256(array_to_string(lines, ' ')) LEFT JOIN found USING (r)
 """
 
-ORACLE: dict[str, str] = {"op1_quality_rules": _OP1, "op4_jaccard_join": _OP4, "op5_mixing": _OP5, "op6_substring_dedup": _OP6, "op9_license_scan": _OP9}
+_OP11 = """
+WITH raw AS (
+  SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t, length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL
+), rows_ AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, t) AS p FROM raw
+), ops AS (
+  SELECT DISTINCT conv_id, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])) AS o FROM raw
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+    xor(list_reduce(list_prepend(4294967295, o), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) % 6 AS h FROM ops
+), heads AS (
+  SELECT c.conv_id, r.p AS depth, t, chars FROM convs c JOIN rows_ r ON r.conv_id = c.base AND r.p <= c.h
+), shifted AS (
+  SELECT conv_id, h, (SELECT count(*) FROM heads WHERE heads.conv_id = convs.conv_id) - h AS shift FROM convs
+), turns AS (
+  SELECT * FROM heads UNION ALL SELECT r.conv_id, r.p + shift, t, chars FROM rows_ r JOIN shifted USING (conv_id) WHERE r.p > h
+), paths AS (
+  SELECT conv_id, depth, string_agg(t, '') OVER (PARTITION BY conv_id ORDER BY depth) AS k, chars FROM turns
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs
+), tips AS (
+  SELECT conv_id, max(depth) AS depth, arg_max(k, depth) AS k FROM paths GROUP BY conv_id
+), nodes AS (
+  SELECT depth, md5(k) AS k, any_value(k[: (depth - 1) * 64]) AS up, min(conv_id) AS conv_id, count(*) AS n, any_value(chars) AS chars FROM paths GROUP BY depth, k
+), kids AS (
+  SELECT depth - 1 AS depth, md5(up) AS k, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+), whole AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (depth, k)
+), below AS (
+  SELECT p.depth, md5(p.k) AS k, sum(CASE WHEN w.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((w.n - 1) * w.chars) AS saved
+  FROM whole w JOIN paths p ON p.conv_id = w.conv_id AND p.depth <= w.depth GROUP BY ALL
+), ends AS (
+  SELECT depth, md5(k) AS k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM tips GROUP BY ALL
+)
+SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(w.n AS BIGINT) AS n_convs, CAST(w.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM whole w JOIN below b ON b.depth = w.depth AND b.k = w.k LEFT JOIN nodes p ON w.depth > 0 AND p.depth = w.depth - 1 AND p.k = md5(w.up) LEFT JOIN ends e ON e.depth = w.depth AND e.k = w.k
+"""
+
+_OP13 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}'), '{_BENCH_WORD}+') AS words FROM documents
+), b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}'), '{_BENCH_WORD}+') AS words FROM benchmark
+), places AS (
+  SELECT item, words, least(10, len(words)) AS m, unnest(range(1, greatest(2, len(words) - 8))) AS i FROM b WHERE len(words) > 0
+), strings AS (
+  SELECT DISTINCT item, m, md5(array_to_string(words[i:i + m - 1], ' ')) AS h FROM places
+), lengths AS (
+  SELECT DISTINCT m FROM strings
+), spots AS (
+  SELECT r, m, words, unnest(range(1, len(words) - m + 2)) AS i FROM d, lengths WHERE len(words) >= m
+), found AS (
+  SELECT a.r, a.i, a.m, item FROM (SELECT r, i, m, md5(array_to_string(words[i:i + m - 1], ' ')) AS h FROM spots) a JOIN strings USING (m, h)
+), hit AS (
+  SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS j FROM found) GROUP BY r
+), items AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM found) GROUP BY r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""
+
+ORACLE: dict[str, str] = {"op11_prefix_trie": _OP11, "op13_decontamination": _OP13, "op1_quality_rules": _OP1, "op4_jaccard_join": _OP4, "op5_mixing": _OP5, "op6_substring_dedup": _OP6, "op9_license_scan": _OP9}
