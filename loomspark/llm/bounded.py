@@ -24,15 +24,21 @@ def few(df: DataFrame, *, width: int = 0) -> DataFrame:
     return out
 
 
-def with_lists(docs: DataFrame, lists: DataFrame, *, inner: bool = False) -> DataFrame:
-    """``docs`` with the array columns of ``lists``, which has a row for each doc_id at most."""
-    arrays = [c for c in lists.columns if c != "doc_id"]
+def with_lists(docs: DataFrame, lists: DataFrame, *, inner: bool = False, also: dict[str, str] | None = None) -> DataFrame:
+    """``docs`` with the array columns of ``lists``, which has a row for each doc_id at most.
+
+    ``also`` are columns of ``docs`` and those of ``lists`` that they equal where doc_id alone is no key."""
+    also = also or {}
+    arrays = [c for c in lists.columns if c != "doc_id" and c not in also.values()]
     size = lists.agg(F.sum(F.lit(64) + sum(F.lit(8) * F.greatest(F.size(c), F.lit(0)) for c in arrays))).first()[0] or 0
     if size <= MOST_BYTES:
         lists = F.broadcast(lists)
     own = unused(docs, "own")
-    joined = docs.join(lists.withColumnRenamed("doc_id", own), F.col("doc_id").eqNullSafe(F.col(own)), "inner" if inner else "left")
-    return joined.drop(own)
+    match, renamed = F.col("doc_id").eqNullSafe(F.col(own)), lists.withColumnRenamed("doc_id", own)
+    for mine, theirs in also.items():
+        name = unused(docs, f"{own}_{theirs}")
+        match, renamed = match & (F.col(mine) == F.col(name)), renamed.withColumnRenamed(theirs, name)
+    return docs.join(renamed, match, "inner" if inner else "left").select(*(docs[c] for c in docs.columns), *arrays)
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -170,7 +170,7 @@ def _keyed(lines: DataFrame, edits: int) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != "")
+    return docs.select("doc_id", "version", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != "")
 
 
 def _kept(lines: Column, gone: Column, body) -> Column:
@@ -186,47 +186,54 @@ def dedup(docs: DataFrame, *, edits: int = 2) -> DataFrame:
     Lines are parted by line feeds; those of white space alone are kept. Two lines link if they are
     equal, or have at most as many edits (insert, delete, substitute a code point) between them as the
     shorter allows: one from 10 characters, two from 20, and so on up to ``edits``; of the lines that are linked, directly or over others,
-    only the first by (doc_id, line number) stays. ``n_lines`` and ``n_removed`` are added (columns
+    only the first by (doc_id, hash of the text, line number) stays. ``n_lines`` and ``n_removed`` are added (columns
     of these names are replaced); the other columns stay. A null text stays null with 0 lines. Rows
-    that share a doc_id are one document: a line does not repeat the line of that number in another
-    such row. A null doc_id comes before all others. Repeated rows are such rows, so they lose the same
-    lines. An empty table gives no rows.
+    that share a doc_id but not their text are documents of their own; rows that share both are one document, of which
+    every row keeps the same lines, so no line is lost with all of its copies. A null doc_id comes before all
+    others. An empty table gives no rows.
     """
     docs = docs.drop("n_lines", "n_removed")
-    rows = docs.select("doc_id", "text")
+    # a document is known by its doc_id and a hash of its text
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
+    here = {"version": "version"}
     # equal lines; a hot line is combined before the shuffle
-    hashed = _lines(rows).select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2"))
+    hashed = _lines(rows).select("doc_id", "version", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2"))
     repeated = hashed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("d"), F.max(F.col("doc_id").isNull()).alias("none")).where("n > 1").select("h1", "h2", F.when(~F.col("none"), F.col("d")).alias("d"))
     places_of = stored(hashed.join(few(repeated), ["h1", "h2"]), "repeated")
     in_first = F.col("doc_id").eqNullSafe(F.col("d"))
-    firsts = few(places_of.where(in_first).groupBy("h1", "h2").agg(F.min("line_no").alias("l")))
-    equal = places_of.join(firsts, ["h1", "h2"]).where(~(in_first & (F.col("line_no") == F.col("l"))))
-    equal = stored(equal.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")), "equal")
+    firsts = few(places_of.where(in_first).groupBy("h1", "h2").agg(F.min(F.struct("version", "line_no")).alias("first")).select("h1", "h2", F.col("first.version").alias("v"), F.col("first.line_no").alias("l")))
+    equal = places_of.join(firsts, ["h1", "h2"]).where(~(in_first & (F.col("version") == F.col("v")) & (F.col("line_no") == F.col("l"))))
+    equal = stored(equal.groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("gone")), "equal")
     forget(places_of)
-    ref = F.struct("doc_id", "line_no")
+    ref = F.struct("doc_id", "version", "line_no")
 
     # each different line once
     numbered = _let(F.split("text", "\n"), lambda lines: _kept(lines, F.col("gone"), lambda i, line: F.struct(i.alias("line_no"), line.alias("line"))))
-    once = with_lists(rows, equal).select("doc_id", F.explode(numbered).alias("x")).select("doc_id", "x.line_no", "x.line")
+    once = with_lists(rows, equal, also=here).select("doc_id", "version", F.explode(numbered).alias("x")).select("doc_id", "version", "x.line_no", "x.line")
     once = once.where((F.length("line") >= AN_EDIT) & (F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != ""))
     # keys are dealt once for both of their uses; most are in one line only
-    keyed = _keyed(once.select("doc_id", "line_no", F.xxhash64("line").alias("id"), "line"), edits).repartition("key")
-    groups = keyed.groupBy("key").agg(F.max("own").alias("own"), F.min("id").alias("a"), F.max("id").alias("z"), F.max("line_no").alias("l"), F.max(F.coalesce("doc_id", F.lit(0))).alias("d"))
-    used = (F.col("l") >= 0) & (F.col("d") >= _long(-(1 << 63)))  # always so; both uses are of one exchange if they read the same columns
+    keyed = _keyed(once.select("doc_id", "version", "line_no", F.xxhash64("line").alias("h"), "line"), edits).repartition("key")
+    groups = keyed.groupBy("key").agg(F.max("own").alias("own"), F.min("h").alias("a"), F.max("h").alias("z"), F.max("line_no").alias("l"), F.max(F.coalesce("doc_id", F.lit(0))).alias("d"), F.max("version").alias("v"))
+    used = (F.col("l") >= 0) & (F.col("d") >= _long(-(1 << 63))) & (F.col("v") >= _long(-(1 << 63)))  # always so; both uses are of one exchange if they read the same columns
     groups = groups.where(F.expr("a <> z AND own") & used).select("key").hint("shuffle_hash")
-    members = stored(keyed.join(groups, "key"), "members")
+    met = stored(keyed.join(groups, "key"), "met")
+    # a line is numbered by its place, since two lines may share a hash
+    places = stored(met.select("doc_id", "version", "line_no").distinct().withColumn("id", F.monotonically_increasing_id()), "places")
+    named = few(places).select(F.col("doc_id").alias("d"), F.col("version").alias("v"), F.col("line_no").alias("l"), "id")
+    at = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")) & (F.col("line_no") == F.col("l"))
+    members = stored(met.join(named, at).select("key", "own", "id"), "members")
+    forget(met)
     # the line that meets others under the most keys is the one that copies differ from least
-    met = members.groupBy("id").agg((-F.count("*")).alias("rank"))
-    leads = members.join(met, "id").groupBy("key").agg(F.min(F.struct("rank", "id")).alias("lead")).select("key", F.col("lead.id").alias("lead"))
-    places = stored(members.select("id", "doc_id", "line_no").distinct(), "places")
+    most_met = members.groupBy("id").agg((-F.count("*")).alias("rank"))
+    leads = members.join(most_met, "id").groupBy("key").agg(F.min(F.struct("rank", "id")).alias("lead")).select("key", F.col("lead.id").alias("lead"))
     stars = stored(members.join(leads, "key").where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct(), "stars")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         ids = few(ids.distinct())
-        wanted = stored(places.join(ids, "id", "left_semi").groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted")), "wanted")
-        asked = _let(F.split("text", "\n"), lambda lines: F.transform("wanted", lambda i: F.get(lines, i)))
-        texts = with_lists(rows, wanted, inner=True).select(F.explode(asked).alias("line")).where("line IS NOT NULL")
-        return texts.select(F.xxhash64("line").alias("id"), "line").dropDuplicates(["id"])
+        wanted = stored(places.join(ids, "id", "left_semi").groupBy("doc_id", "version").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted")), "wanted")
+        asked = _let(F.split("text", "\n"), lambda lines: F.transform("wanted", lambda i: F.struct(i["id"].alias("id"), F.get(lines, i["line_no"]).alias("line"))))
+        texts = with_lists(rows, wanted, inner=True, also=here).select(F.explode(asked).alias("x")).select("x.id", "x.line").where("line IS NOT NULL")
+        return texts.dropDuplicates(["id"])  # rows that share doc_id and text
 
     def verified(pairs: DataFrame) -> DataFrame:
         texts = stored(texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))), "lines")
@@ -251,10 +258,10 @@ def dedup(docs: DataFrame, *, edits: int = 2) -> DataFrame:
         labels = stored(components(links.union(verified(rest))).toDF("id", "component"), "labels")
     near = places.join(labels, "id")
     first = near.groupBy("component").agg(F.min(ref).alias("first"))
-    near = near.join(first, "component").where(ref != F.col("first")).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
-    gone, lines = unused(docs, "gone"), F.split("text", "\n")
-    lost = stored(equal.union(near).groupBy("doc_id").agg(F.flatten(F.collect_list("gone")).alias(gone)), "gone")
-    cleaned = with_lists(docs, lost)
+    near = near.join(first, "component").where(~ref.eqNullSafe(F.col("first"))).groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("gone"))
+    gone, lines, version = unused(docs, "gone"), F.split("text", "\n"), unused(docs, "version")
+    lost = stored(equal.union(near).groupBy("doc_id", "version").agg(F.flatten(F.collect_list("gone")).alias(gone)), "gone")
+    cleaned = with_lists(docs.withColumn(version, F.xxhash64("text")), lost, also={version: "version"})
     left = _let(lines, lambda x: F.array_join(_kept(x, F.col(gone), lambda _, line: line), "\n"))
     worded = F.size(F.filter(lines, lambda s: F.btrim(s, F.lit(" \t\n\x0b\x0c\r")) != "")).cast("long")
     out = cleaned.withColumns({"n_lines": F.greatest(worded, F.lit(0)), "n_removed": F.greatest(F.size(gone), F.lit(0)).cast("long"), "text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)})

@@ -190,6 +190,28 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lines_of_shared_ids(spark, seed):
+    """Rows that share a doc_id, or have none, lose no line with all of its copies: of each class of lines one stays."""
+    r = random.Random(seed)
+    base = ["".join(r.choice("abcde ") for _ in range(r.randint(20, 40))) for _ in range(25)] + ["aaa unique one", "unique two bbb", "foo line here"]
+    rows = [(None, "aaa unique one\nfoo line here"), (None, "foo line here\nunique two bbb"), (7, "one more of seven\nfoo line here"), (7, "foo line here\nthe other of seven")]
+    rows += [(r.choice([None, None, 7, 8]), "\n".join(edited(r, r.choice(base)) if r.random() < 0.5 else r.choice(base) for _ in range(r.randint(1, 5)))) for _ in range(40)]
+    rows = list(dict.fromkeys(rows))
+    lines = sorted({x for _, t in rows for x in t.split("\n") if WORD.search(x)})
+    sets = Sets(lines)
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            if abs(len(a) - len(b)) <= 2 and distance(a, b) <= min(2, min(len(a), len(b)) // 10):
+                sets.join(a, b)
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    left = Counter(sets.root(x) for row in got for x in row.text.split("\n") if WORD.search(x))
+    assert left == Counter({sets.root(x) for x in lines})
+    # rows that share both are one document, and each keeps its lines
+    twice = line_dedup.dedup(spark.createDataFrame([(1, "once only here\nonce only here"), (1, "once only here\nonce only here"), (2, "once only here")], "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.text) for x in twice) == [(1, "once only here"), (1, "once only here"), (2, "")]
+
+
 def test_short_lines(spark):
     """Lines of 6 to 26 characters against brute force: one edit for each ten characters of the shorter, two at most."""
     r = random.Random(6)
