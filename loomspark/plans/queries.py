@@ -13,6 +13,7 @@ from ..sources import SessionTable, load
 from ..sources import point_lookup as lookup
 from ..streaming import Log
 from ..streaming import first_message as first_record
+from . import extensions
 
 
 def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,7 +103,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return log_roundtrip_stream(spark, sf).where("event_type = 'error'")
 
 
-QUERIES = {f.__name__: f for f in (point_lookup, serial_assign, pk_violations, json_encode, json_encode_text, json_decode, json_roundtrip_equal, json_strict, log_offsets, log_offsets_partitioned, log_roundtrip_stream, first_message, insert_returning, insert_select_roundtrip)}
+QUERIES = {f.__name__: f for f in (point_lookup, serial_assign, pk_violations, json_encode, json_encode_text, json_decode, json_roundtrip_equal, json_strict, log_offsets, log_offsets_partitioned, log_roundtrip_stream, first_message, insert_returning, insert_select_roundtrip)} | extensions.QUERIES
 
 _SENT_JSON = "'{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}'"
 
@@ -121,4 +122,4 @@ ORACLE = {
     "first_message": "SELECT event_id, event_type, value FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 1",
     "insert_returning": "SELECT CAST(row_number() OVER (ORDER BY event_id) AS INTEGER) AS id, event_id FROM events",
     "insert_select_roundtrip": "SELECT CAST(row_number() OVER (ORDER BY event_id) AS INTEGER) AS id, props AS value FROM events",
-}
+} | extensions.ORACLE
