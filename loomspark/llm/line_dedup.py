@@ -26,6 +26,7 @@ from .graph import components
 AN_EDIT = 10
 #: Lines of so many characters may have the two edits that are the default.
 SHORTEST = 2 * AN_EDIT
+_PLACE = ["doc_id", "version", "line_no"]
 
 
 def _long(value: int) -> Column:
@@ -205,38 +206,28 @@ def dedup(docs: DataFrame, *, edits: int = 2) -> DataFrame:
     equal = places_of.join(firsts, ["h1", "h2"]).where(~(in_first & (F.col("version") == F.col("v")) & (F.col("line_no") == F.col("l"))))
     equal = stored(equal.groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("gone")), "equal")
     forget(places_of)
-    ref = F.struct("doc_id", "version", "line_no")
+    ref = F.struct(*_PLACE)
 
     # each different line once
     numbered = _let(F.split("text", "\n"), lambda lines: _kept(lines, F.col("gone"), lambda i, line: F.struct(i.alias("line_no"), line.alias("line"))))
     once = with_lists(rows, equal, also=here).select("doc_id", "version", F.explode(numbered).alias("x")).select("doc_id", "version", "x.line_no", "x.line")
     once = once.where((F.length("line") >= AN_EDIT) & (F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != ""))
+    # a line is numbered by its place; lines are written, so that neither keys nor texts need their documents again
+    lines = stored(once.withColumn("id", F.monotonically_increasing_id()), "lines")
     # keys are dealt once for both of their uses; most are in one line only
-    keyed = _keyed(once.select("doc_id", "version", "line_no", F.xxhash64("line").alias("h"), "line"), edits).repartition("key")
-    groups = keyed.groupBy("key").agg(F.max("own").alias("own"), F.min("h").alias("a"), F.max("h").alias("z"), F.max("line_no").alias("l"), F.max(F.coalesce("doc_id", F.lit(0))).alias("d"), F.max("version").alias("v"))
-    used = (F.col("l") >= 0) & (F.col("d") >= _long(-(1 << 63))) & (F.col("v") >= _long(-(1 << 63)))  # always so; both uses are of one exchange if they read the same columns
-    groups = groups.where(F.expr("a <> z AND own") & used).select("key").hint("shuffle_hash")
-    met = stored(keyed.join(groups, "key"), "met")
-    # a line is numbered by its place, since two lines may share a hash
-    places = stored(met.select("doc_id", "version", "line_no").distinct().withColumn("id", F.monotonically_increasing_id()), "places")
-    named = few(places).select(F.col("doc_id").alias("d"), F.col("version").alias("v"), F.col("line_no").alias("l"), "id")
-    at = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")) & (F.col("line_no") == F.col("l"))
-    members = stored(met.join(named, at).select("key", "own", "id"), "members")
-    forget(met)
+    keyed = _keyed(lines.select("id", "line"), edits).repartition("key")
+    groups = keyed.groupBy("key").agg(F.max("own").alias("own"), F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z AND own").select("key").hint("shuffle_hash")
+    members = stored(keyed.join(groups, "key"), "members")
     # the line that meets others under the most keys is the one that copies differ from least
-    most_met = members.groupBy("id").agg((-F.count("*")).alias("rank"))
-    leads = members.join(most_met, "id").groupBy("key").agg(F.min(F.struct("rank", "id")).alias("lead")).select("key", F.col("lead.id").alias("lead"))
+    met = members.groupBy("id").agg((-F.count("*")).alias("rank"))
+    leads = members.join(met, "id").groupBy("key").agg(F.min(F.struct("rank", "id")).alias("lead")).select("key", F.col("lead.id").alias("lead"))
     stars = stored(members.join(leads, "key").where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct(), "stars")
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        ids = few(ids.distinct())
-        wanted = stored(places.join(ids, "id", "left_semi").groupBy("doc_id", "version").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted")), "wanted")
-        asked = _let(F.split("text", "\n"), lambda lines: F.transform("wanted", lambda i: F.struct(i["id"].alias("id"), F.get(lines, i["line_no"]).alias("line"))))
-        texts = with_lists(rows, wanted, inner=True, also=here).select(F.explode(asked).alias("x")).select("x.id", "x.line").where("line IS NOT NULL")
-        return texts.dropDuplicates(["id"])  # rows that share doc_id and text
+        return lines.select("id", "line").join(few(ids.distinct()), "id", "left_semi")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        texts = stored(texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))), "lines")
+        texts = stored(texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))), "texts")
         both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
         return stored(_close(both, edits, allowed(F.least(F.length("ta"), F.length("tb")), edits)), "links")
 
@@ -256,13 +247,14 @@ def dedup(docs: DataFrame, *, edits: int = 2) -> DataFrame:
     forget(members, stars)
     if not rest.isEmpty():
         labels = stored(components(links.union(verified(rest))).toDF("id", "component"), "labels")
-    near = places.join(labels, "id")
+    near = lines.select("id", *_PLACE).join(few(labels), "id")
     first = near.groupBy("component").agg(F.min(ref).alias("first"))
     near = near.join(first, "component").where(~ref.eqNullSafe(F.col("first"))).groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("gone"))
-    gone, lines, version = unused(docs, "gone"), F.split("text", "\n"), unused(docs, "version")
+    gone, parts, version = unused(docs, "gone"), F.split("text", "\n"), unused(docs, "version")
     lost = stored(equal.union(near).groupBy("doc_id", "version").agg(F.flatten(F.collect_list("gone")).alias(gone)), "gone")
+    forget(lines, equal)
     cleaned = with_lists(docs.withColumn(version, F.xxhash64("text")), lost, also={version: "version"})
-    left = _let(lines, lambda x: F.array_join(_kept(x, F.col(gone), lambda _, line: line), "\n"))
-    worded = F.size(F.filter(lines, lambda s: F.btrim(s, F.lit(" \t\n\x0b\x0c\r")) != "")).cast("long")
+    left = _let(parts, lambda x: F.array_join(_kept(x, F.col(gone), lambda _, line: line), "\n"))
+    worded = F.size(F.filter(parts, lambda s: F.btrim(s, F.lit(" \t\n\x0b\x0c\r")) != "")).cast("long")
     out = cleaned.withColumns({"n_lines": F.greatest(worded, F.lit(0)), "n_removed": F.greatest(F.size(gone), F.lit(0)).cast("long"), "text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)})
     return out.select(*docs.columns, "n_lines", "n_removed")
