@@ -14,14 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .bounded import unused
+from .bounded import MOST_BYTES, unused
 
-#: Sources with means up to this have a table of their distribution; with larger ones it is summed for each row.
-MOST = 10_000
+#: Sources with means up to this have a table of their distribution; with larger ones, which are small beside the rest,
+#: it is summed for each row, in proportion to the row's copies.
+MOST = 100
 #: A row's terms and copies are listed in blocks of so many.
 BLOCK = 10_000
-#: Sources up to this many are broadcast (some tens of MB); more are joined by a shuffle.
-BROADCAST_SOURCES = 100_000
 #: Characters that a partition of the result has, about; it has as many partitions as the session shuffles to at least.
 PARTITION_CHARS = 128 << 20
 
@@ -107,9 +106,10 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, *, power: fl
     docs = docs.drop(*own)
     rates = source_rates(docs, weights, power, epochs)
     source, rate, cdf, block_no = (unused(docs, c) for c in ("__source", "__rate", "__cdf", "__block"))
-    n_sources, chars = rates.agg(F.count("*"), F.coalesce(F.sum("chars"), F.lit(0.0))).first()
+    held = F.lit(64) + F.octet_length("__source") + 8 * F.greatest(F.size("__cdf"), F.lit(0))
+    size, chars = rates.agg(F.coalesce(F.sum(held), F.lit(0)), F.coalesce(F.sum("chars"), F.lit(0.0))).first()
     rates = rates.drop("chars").toDF(source, rate, cdf)
-    if n_sources <= BROADCAST_SOURCES:
+    if size <= MOST_BYTES:
         rates = F.broadcast(rates)
     uniform = (hashed(str(seed), F.col("doc_id"), digits=13) + F.lit(0.5)) / F.lit(float(1 << 52))
     n = F.when(F.col(cdf).isNotNull(), F.size(F.filter(cdf, lambda c: c < uniform))).otherwise(poisson_inverse(F.col(rate), uniform))
