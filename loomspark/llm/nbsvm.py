@@ -1,6 +1,6 @@
 """Quality classifier with Naive Bayes support vectors (operator 3).
 
-Features are hashed indicators of n-grams: words in lower case, and runs of one, two and three word
+Features are hashed indicators of n-grams: one, two and three words in a row, in lower case, and as many word
 shapes (letters by case, digits, and every other character, runs of a kind as one; a word equal to
 the one before has a shape of its own). Each indicator is scaled by the log ratio of its smoothed
 share in the two classes, and a linear hinge-loss model is fitted to these by dual coordinate
@@ -14,15 +14,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .words import U, Words, chunks, mix
 
 #: Feature buckets (a power of two); the model is one float for each.
-BITS = 18
-#: The bound of the fit: labelled rows at most, those with the smallest hashes.
-FIT_ROWS = 12_000
+BITS = 20
+#: The bounds of the fit: labelled rows at most, those with the smallest hashes, and bytes of their texts.
+#: A text that is longer than a hundredth of these is left out of the fit; all texts are scored in full.
+FIT_ROWS, FIT_BYTES = 12_000, 96 << 20
 #: Of those, one in so many is kept for the logistic curve.
 CURVE = 5
 
@@ -49,11 +50,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     again = np.zeros(len(w.hashes), bool)
     again[1:] = (w.hashes[1:] == w.hashes[:-1]) & (text[1:] == text[:-1])
     s.hashes = np.where(again, U(0x61C8864680B583EB), s.hashes)
-    found, of = [mix(w.hashes ^ U(0x2545F4914F6CDD1D))], [text]
+    found, of = [], []
     for n in (1, 2, 3):
-        h, t = s.windows(n)
-        found.append(mix(h + U(n)))
-        of.append(t)
+        for words, salt in ((w, 0x2545F4914F6CDD1D), (s, 0)):
+            h, t = words.windows(n)
+            found.append(mix((h ^ U(salt)) + U(n)))
+            of.append(t)
     key = (np.concatenate(of).astype(np.int64) << BITS) | (np.concatenate(found) >> U(64 - BITS)).astype(np.int64)
     key = np.unique(key)
     return (key & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(key >> BITS, np.arange(len(offsets)))
@@ -148,18 +150,23 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(f))], ["label", "features"])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", fit_rows: int = FIT_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Model:
     """Fit on the labelled rows that are not held out, ``fit_rows`` of them at most.
 
-    Features are made by Spark's tasks; the rows of the fit, at most ``fit_rows`` lists of at most
-    2**18 numbers, meet on the driver. A label other than 0 and 1 is not used; for repeated labels
+    Features are made by Spark's tasks; the rows of the fit meet on the driver, at most ``fit_rows`` of them with at most
+    ``fit_bytes`` of text, which makes some six features of 4 bytes for each word. A label other than 0 and 1 is not used; for repeated labels
     of a doc_id the largest counts, for repeated rows of a document the smallest text.
     """
     named = labels.where((remainder(F.col("doc_id")) != 1) & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = named.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(fit_rows)
     # at most fit_rows narrow rows
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    got = rows.select("label", "text", "doc_id").orderBy("doc_id").select("label", "text").mapInArrow(_featured, "label int, features array<int>").toArrow()
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    order = Window.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the sizes of fit_rows texts at most are added up in one task
+    sized = rows.withColumn("size", size).where(F.col("size") * 100 <= fit_bytes)
+    fits = sized.select("doc_id", F.sum("size").over(order).alias("total")).where(F.col("total") <= fit_bytes).select("doc_id")
+    got = sized.join(F.broadcast(fits), "doc_id", "left_semi").select("label", "text", "doc_id").orderBy("doc_id").select("label", "text").mapInArrow(_featured, "label int, features array<int>").toArrow()
     return fit([np.asarray(f) for f in got.column("features").to_numpy()], got.column("label").to_numpy())
 
 
@@ -167,7 +174,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, held_out, score (0 to 1, higher for label 1),
     predicted. No shuffle. A null or empty text has no feature and gets the score of the bias;
     other columns, and doc_id, are never looked at for a score."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # 2**18 floats
+    held = docs.sparkSession.sparkContext.broadcast(model)  # 2**20 floats
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in chunks(batches):
