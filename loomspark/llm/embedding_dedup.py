@@ -3,7 +3,8 @@
 Equal vectors become one class. The classes are dealt to shards by hash and every shard gets a
 hierarchical graph, whose beam is widened until an audit against brute force passes; a shard whose audit
 fails at the widest beam is searched by brute force. A shard is a few array files in the shared folder.
-A task takes two shards by their paths and searches the vectors of each in the graph of the other;
+A task takes two shards by their paths and searches the vectors of each in the graph of the other, after an audit
+of both searches by a sample of queries, which makes it compare all vectors of the two where it fails;
 what is found is verified by cosine in double precision. It returns no pairs but, for each vector, how many
 it found and one vector of its component, so that its result grows with vectors and not with links.
 Where a link was found from one side only, the links of its component are counted by brute force.
@@ -30,8 +31,10 @@ from .words import U, mix
 SHARDS, SHARD_ROWS, SHARD_BYTES = 4, 100_000, 128 << 20
 #: Vectors with neighbours that are audited of a shard at least, and the share of their neighbours to be found.
 AUDITED, RECALL = 512, 0.99
-#: Verified pairs that are compared at once.
-PAIRS = 1 << 16
+#: Queries by which a search between two shards is audited, and how many of them are drawn among vectors with links.
+CROSS_AUDITED, CROSS_LINKED = 256, 192
+#: Bytes of components that are gathered at once to compare vectors.
+GATHERED = 32 << 20
 
 
 def usable(v: Column) -> Column:
@@ -122,10 +125,12 @@ def linked(p: _Shard, q: _Shard, least: float) -> tuple[np.ndarray, np.ndarray]:
     labels, weight = np.arange(n + m), np.zeros(n + m, np.int64)
     marks = np.zeros((2, n + m), U)  # sums over the pairs found from each side
 
+    block = max(1, GATHERED // (8 * p.unit.shape[1]))
+
     def verified(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keep = np.zeros(len(a), bool)
-        for i in range(0, len(a), PAIRS):
-            s = slice(i, i + PAIRS)
+        for i in range(0, len(a), block):
+            s = slice(i, i + block)
             keep[s] = np.einsum("id,id->i", x[a[s]], y[b[s]]) >= least
         return keep
 
@@ -147,32 +152,57 @@ def linked(p: _Shard, q: _Shard, least: float) -> tuple[np.ndarray, np.ndarray]:
         mine = np.flatnonzero(uneven[labels])
         weight[mine] = 0
         left, right = (mine, mine) if same else (mine[mine < n], mine[mine >= n])
-        vector = lambda k: np.where((k < n)[:, None], p.unit[np.minimum(k, n - 1)], q.unit[np.maximum(k - n, 0)])
-        heavy = lambda k: np.where(k < n, p.weights[np.minimum(k, n - 1)], q.weights[np.maximum(k - n, 0)])
+        x, heavy, less = (p.unit, p.weights, 0) if same else (q.unit, q.weights, n)  # of what the right holds
         for c in np.unique(labels[mine]):
             l, r = left[labels[left] == c], right[labels[right] == c]
             for i in range(0, len(l), BLOCK):
-                for j in range(0, len(r), PAIRS):
-                    a, b = l[i : i + BLOCK], r[j : j + PAIRS]
-                    near = vector(a) @ vector(b).T >= least
+                for j in range(0, len(r), block):
+                    a, b = l[i : i + BLOCK], r[j : j + block]
+                    near = p.unit[a] @ x[b - less].T >= least
                     if same:
                         near &= a[:, None] != b[None, :]
-                    weight[a] += near @ heavy(b)
+                    weight[a] += near @ heavy[b - less]
                     if not same:
-                        weight[b] += near.T @ heavy(a)
+                        weight[b] += near.T @ p.weights[a]
     return weight, labels
 
 
+def audited(p: _Shard, q: _Shard, least: float) -> float:
+    """The recall of searches between two shards, by a sample of the queries of both; where it is too low, both are
+    searched by brute force from then on. Most queries are drawn among the vectors that the other shard has neighbours of, found by
+    a quick search, as others show nothing."""
+    true, found = 0, 0
+    for x, y in ((p, q), (q, p)):
+        order = np.random.default_rng(len(x.ids)).permutation(len(x.ids))
+        linked_, looked = np.zeros(0, np.int64), 0
+        while looked < len(order) and looked < 64 * BLOCK and len(linked_) < CROSS_LINKED:
+            part = order[looked : looked + BLOCK]
+            linked_ = np.append(linked_, part[np.unique(y.graph.near(x.graph.x[part], least, y.graph.beam)[0])])
+            looked += BLOCK
+        pick = np.unique(np.append(linked_[:CROSS_LINKED], order[: CROSS_AUDITED - CROSS_LINKED]))
+        one = y.graph.recall_of(x.graph.x[pick], least)
+        true, found = true + one[0], found + one[1]
+    if found < RECALL * true:
+        p.graph.exact = q.graph.exact = True
+        return 1.0
+    return found / true if true else 1.0
+
+
 def _search(least: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 p = _Shard(row["a"])
                 q = p if row["a"] == row["b"] else _Shard(row["b"])
+                recall = None if p is q else audited(p, q, least)
                 weight, labels = linked(p, q, least)
                 ids = p.ids if p is q else np.concatenate([p.ids, q.ids])
                 told = np.flatnonzero((weight > 0) | (labels != np.arange(len(labels))))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[told]), pa.array(weight[told]), pa.array(ids[labels[told]])], ["id", "others", "first"])
+                # beside the vectors' rows, one without id for the recall of two different shards
+                rows = [np.append(c, v) for c, v in ((ids[told], 0), (weight[told], 0), (ids[labels[told]], 0))]
+                none = np.append(np.zeros(len(told), bool), True)
+                measured = pa.array([None] * len(told) + [recall], pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], mask=none), pa.array(rows[1], mask=none), pa.array(rows[2], mask=none), measured], ["id", "others", "first", "recall"])
 
     return search
 
@@ -190,7 +220,9 @@ def index(classes: DataFrame, least: float) -> DataFrame:
 
 def dedup(vectors: DataFrame, *, least: float = 0.9) -> DataFrame:
     """For each row of ``vectors`` (vec_id, embedding): vec_id, n_links (other vectors with cosine
-    ``least`` or more), component_id (smallest vec_id reachable by links), kept.
+    ``least`` or more), component_id (smallest vec_id reachable by links), kept, and recall (one value: the least share of
+    links that the audits of shards and of searches between them have found; a search of which less than ``RECALL`` was found is
+    made by brute force and counts as 1).
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing and are
     kept, and so do vectors of different lengths. Links are found with the audited recall;
@@ -200,17 +232,27 @@ def dedup(vectors: DataFrame, *, least: float = 0.9) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding"))
     good = rows.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     # equal vectors are combined before the shuffle
-    classes = stored(good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("size")).withColumn("dim", F.size("embedding")), "classes")
+    classes = good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("size")).withColumn("dim", F.size("embedding"))
+    classes = stored(classes.withColumns(_digest(F.col("embedding"))), "classes")
     shards = index(classes, least)
     # every shard meets every shard once, by path: a narrow row for each two of them
     a, b = shards.select("dim", F.col("shard").alias("i"), F.col("path").alias("a")), shards.select("dim", F.col("shard").alias("j"), F.col("path").alias("b"))
     two = stored(a.join(b, "dim").where("i <= j").select("a", "b"), "tasks")
     n = max(1, two.count())
-    found = stored(two.repartition(n, F.xxhash64("a", "b")).mapInArrow(_search(least), "id long, others long, first long"), "links")
+    searched = stored(two.repartition(n, F.xxhash64("a", "b")).mapInArrow(_search(least), "id long, others long, first long, recall double"), "links")
+    found = searched.where("id IS NOT NULL")
     degrees = found.groupBy("id").agg(F.sum("others").alias("others"))
     labels = components(found.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))).toDF("id", "component")
-    known = stored(classes.join(degrees, "id", "left").join(labels, "id", "left").select("embedding", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "id").alias("c")), "known")
-    forget(found, two)
-    usable_here = usable(F.col("embedding")) & F.col("vec_id").isNotNull()
-    out = rows.withColumn("own", F.when(usable_here, F.col("embedding"))).join(known.withColumnRenamed("embedding", "own"), "own", "left")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("c", "vec_id"), F.lit(True)).alias("kept"))
+    known = classes.join(degrees, "id", "left").join(labels, "id", "left").select("e1", "e2", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "id").alias("c"))
+    known = stored(known, "known")
+    # vectors are looked up by their digests, and those that link with nothing aren't
+    linkable = good.select("vec_id", *(v.alias(k) for k, v in _digest(F.col("embedding")).items())).join(known, ["e1", "e2"]).select("vec_id", "n", "c")
+    alone = rows.where(~usable(F.col("embedding")) | F.col("vec_id").isNull()).select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("c"))
+    recall = shards.select("recall").union(searched.select("recall")).agg(F.min("recall")).first()[0]
+    forget(two, searched)
+    return linkable.union(alone).select("vec_id", F.col("n").alias("n_links"), F.col("c").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("c"), F.lit(True)).alias("kept"), F.lit(1.0 if recall is None else recall).alias("recall"))
+
+
+def _digest(v: Column) -> dict[str, Column]:
+    """128 bits that know a vector."""
+    return {"e1": F.xxhash64(v), "e2": F.xxhash64(F.lit(7), v)}

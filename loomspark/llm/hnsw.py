@@ -24,6 +24,8 @@ SLACK = 1e-4
 #: An audit goes on until its vectors stand for so many groups, a vector with p neighbours counting 1 / p;
 #: beyond the sample's size it leaves out vectors with more neighbours than the second number.
 GROUPS, FEW = 128, 256
+#: Vectors whose neighbours an audit finds by brute force; those of more are found by beams so many times as wide as the searches'.
+BRUTE_FORCED, WIDER = 4096, 16
 
 
 class Layer:
@@ -197,12 +199,14 @@ class Graph:
 
     def _sample(self, least: float, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Vectors that have neighbours, in a random order, and all pairs (place in it, node) of them and their
-        neighbours: ``sample`` vectors and as many more as GROUPS asks for, or all that the shard has."""
+        neighbours: ``sample`` vectors and as many more as GROUPS asks for, or all that the shard has. The neighbours of
+        the first BRUTE_FORCED vectors looked at are found by brute force, so that the cost of an audit doesn't grow with the
+        square of a shard in which few vectors have any; those of the others by a far wider beam."""
         order = np.random.default_rng(2).permutation(len(self.x))
         picks, places, nodes, n, groups = [], [], [], 0, 0.0
         for i in range(0, len(order), BLOCK):
             part = order[i : i + BLOCK]
-            a, b = self._all(self.x[part], least)
+            a, b = self._all(self.x[part], least) if i < BRUTE_FORCED else self.near(self.x[part], least, WIDER * self.beam)
             a, b = a[part[a] != b], b[part[a] != b]  # a vector is no neighbour of itself
             count = np.bincount(a, minlength=len(part))
             take = (count > 0) & ((count <= FEW) | (n + np.cumsum(count > 0) <= sample))
@@ -216,6 +220,13 @@ class Graph:
                 break
         return np.concatenate(picks), np.concatenate(places), np.concatenate(nodes)
 
+    def recall_of(self, q: np.ndarray, least: float) -> tuple[int, int]:
+        """How many pairs of the queries ``q`` and near nodes there are, by brute force, and how many of them a search finds."""
+        a, b = self._all(q, least)
+        found = np.zeros((len(q), len(self.x)), bool)
+        found[self.near(q, least - SLACK, self.beam)] = True
+        return len(a), int(found[a, b].sum())
+
     def audit(self, least: float, recall: float, sample: int) -> float:
         """Widen the beam until the graph finds the share ``recall`` of the true neighbours of a sample's vector,
         averaged both over its vectors and over the groups they stand for, so that no large group hides what is
