@@ -126,6 +126,12 @@ def ablation(rows: DataFrame, policy: tuple[str, int]) -> DataFrame:
     )
 
 
+def decisive(policy: tuple[str, int], bits: Column | None = None) -> Column:
+    """The rule without which a policy would keep a ledger row that it rejects; null for any other row."""
+    own = (F.col("failed_bits") if bits is None else bits).bitwiseAND(F.lit(mask(policy)).cast("long"))
+    return F.when(F.bit_count(own) == 1, F.element_at(F.create_map(*(F.lit(x).cast("long") if i % 2 == 0 else F.lit(x) for r in POLICIES[policy] for i, x in enumerate((BITS[r], r)))), own))
+
+
 def keep(docs: DataFrame, policy: tuple[str, int] = ("web", 2)) -> DataFrame:
     """The rows of ``docs`` that pass a policy, with all their columns.
 

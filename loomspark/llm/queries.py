@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from ..session import scratch
+from ..session import scratch, stored
 from . import decontaminate, embedding_dedup, jaccard, licenses, line_dedup, mixing, nbsvm, packing, prefix_trie, quality_rules, substrings, token_files, whitening
 from .tokens import default_tokenizer
 
@@ -17,9 +17,11 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
-    rows = quality_rules.ledger(_documents(spark, sf))
-    base = quality_rules.passes(("base", 1))
-    return rows.withColumns({"base_failed": ~base, "kept": quality_rules.passes(("web", 2))})
+    policy = ("web", 2)
+    rows = stored(quality_rules.ledger(_documents(spark, sf)), "ledger")  # texts are measured once, for policies and ablations
+    judged = rows.withColumns({"base_failed": ~quality_rules.passes(("base", 1)), "kept": quality_rules.passes(policy), "decisive_rule": quality_rules.decisive(policy)})
+    ablated = quality_rules.ablation(rows, policy).select(F.col("rule").alias("decisive_rule"), F.col("n_only").alias("n_decided"))
+    return judged.join(F.broadcast(ablated), "decisive_rule", "left")  # a row for each rule
 
 
 def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,7 +125,10 @@ WITH d AS (
 ), b AS (
   SELECT *, CAST({" + ".join(f"CASE WHEN {fails} THEN {bit} ELSE 0 END" for bit, fails in _RULES_SQL)} AS BIGINT) AS failed_bits FROM m
 )
-SELECT *, (failed_bits & {quality_rules.mask(("base", 1))}) <> 0 AS base_failed, (failed_bits & {quality_rules.mask(("web", 2))}) = 0 AS kept FROM b
+SELECT *, (failed_bits & {quality_rules.mask(("base", 1))}) <> 0 AS base_failed, (failed_bits & {quality_rules.mask(("web", 2))}) = 0 AS kept,
+  CASE failed_bits & {quality_rules.mask(("web", 2))} {" ".join(f"WHEN {quality_rules.BITS[r]} THEN '{r}'" for r in quality_rules.POLICIES[("web", 2)])} END AS decisive_rule,
+  CASE WHEN decisive_rule IS NOT NULL THEN count(*) OVER (PARTITION BY decisive_rule) END AS n_decided
+FROM b
 """
 
 _OP5 = """
