@@ -61,7 +61,8 @@ def empty(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_matches_sql(spark, name):
     db = duckdb.connect()
-    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "conversations", "benchmark"):
+        db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = db.sql(queries.ORACLE[name])
     names, rows = want.columns, want.fetchall()
     got = queries.QUERIES[name](spark, SF)
@@ -100,9 +101,14 @@ def test_rules(spark, docs, empty):
         assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words, r.n_lines) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(cover), len(lines))
     kept = {r.doc_id for r in quality_rules.keep(docs).collect()}
     assert kept == {d for d, r in got.items() if not r.failed_bits & quality_rules.mask(("web", 2))}
+    lone = quality_rules.decisive(("web", 2))
+    alone = Counter(r.rule for r in quality_rules.ledger(docs).select(lone.alias("rule")).collect() if r.rule)
+    for rule, n in alone.items():
+        assert n == sum(r.failed_bits & quality_rules.mask(("web", 2)) == quality_rules.BITS[rule] for r in got.values())
     rows = {r.rule: r for r in quality_rules.ablation(quality_rules.ledger(docs), ("web", 2)).collect()}
     assert rows["few_words"].n_failed == sum(r.n_words < 50 for r in got.values())
     assert rows["few_words"].n_kept_without == len(kept) + rows["few_words"].n_only
+    assert {k: r.n_only for k, r in rows.items() if r.n_only} == dict(alone)
     assert quality_rules.ledger(empty).count() == 0 == quality_rules.keep(empty).count()
 
 
@@ -369,6 +375,17 @@ def test_mixing_partitions(spark, monkeypatch):
     assert mixing.mixed(df).rdd.getNumPartitions() == 30
 
 
+def test_mixing_many_large_means(spark):
+    """Many small sources beside a large one: their means are in the thousands, and no table of them is made."""
+    rows = [(i, "x", f"s{i}") for i in range(2000)]
+    df = spark.createDataFrame(rows + [(9999, "y" * 50_000_000, "big")], "doc_id long, text string, source string")
+    rates = mixing.source_rates(df, None, 0.5, 1.0)
+    assert rates.where("__cdf IS NOT NULL").count() <= 1 and rates.where("__rate > 500").count() == 2000
+    got = mixing.mixed(df.where("source <> 'big'"), {f"s{i}": 0.9 if i == 0 else 0.0001 for i in range(0, 2000, 500)}, epochs=3.0)
+    n = {r.source: r.n for r in got.groupBy("source").agg(F.max("n_copies").alias("n")).collect()}
+    assert 0.9 * 6000 * 0.9 < n["s0"] < 0.9 * 6000 * 1.1
+
+
 def test_mixing_large_mean(spark):
     """A source of little text in a large table: its mean is above what a table of the distribution holds."""
     rows = [(1, "x" * 60_000, "a"), (2, None, None), (3, "", "b")]
@@ -538,6 +555,57 @@ def test_embedding_audit(groups):
     assert set(zip(a.tolist(), b.tolist())) == set(zip(*(v.tolist() for v in np.nonzero(x @ x.T >= 0.95))))
 
 
+class Shard:
+    def __init__(self, x, first):
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        self.ids, self.weights, self.unit, self.graph = np.arange(first, first + len(x)), np.ones(len(x), np.int64), x, hnsw.Graph(x.astype(np.float32))
+
+
+def two_shards(dim, n=500):
+    r = np.random.default_rng(dim)
+    centres = r.normal(size=(60, dim))
+    make = lambda: np.concatenate([r.normal(size=(n, dim)), centres + 0.05 * r.normal(size=(60, dim))])
+    return Shard(make(), 0), Shard(make(), 1000)
+
+
+@pytest.mark.parametrize("dim, gathered", [(16, 1 << 25), (768, 1 << 16)])
+def test_links_between_shards(monkeypatch, dim, gathered):
+    """Blocks are bounded by bytes, whatever the dimension, and an audit that fails makes the search whole."""
+    monkeypatch.setattr(embedding_dedup, "GATHERED", gathered)
+    p, q = two_shards(dim)
+    true = (p.unit @ q.unit.T >= 0.9).astype(int)
+    assert embedding_dedup.audited(p, q, 0.9) >= 0.99 and not q.graph.exact
+    for _ in range(2):
+        weight, labels = embedding_dedup.linked(p, q, 0.9)
+        assert np.array_equal(weight, np.append(true.sum(1), true.sum(0))) and true.sum() >= 60
+        assert (labels[560:][true.any(0)] < 560).all() and (labels[560:][~true.any(0)] >= 560).all()
+        # a graph that loses every third link
+        whole = q.graph.near
+        q.graph.near = lambda v, least, beam, whole=whole: whole(v, least, beam) if q.graph.exact else tuple(x[np.arange(len(x)) % 3 > 0] for x in whole(v, least, beam))
+        assert embedding_dedup.audited(p, q, 0.9) == 1.0 and q.graph.exact and p.graph.exact
+
+
+def test_audit_cost(monkeypatch):
+    """Where hardly any vector has neighbours, brute force stops at its bound."""
+    monkeypatch.setattr(hnsw, "BRUTE_FORCED", 512)
+    x = shard_of([1] * 3000 + [2] * 20)
+    g, compared = hnsw.Graph(x), []
+    g._all = lambda q, least, all_=g._all: compared.append(len(q)) or all_(q, least)
+    assert g.audit(0.95, 0.99, 512) >= 0.99 and sum(compared) == 512
+    a, b = g.near(x, 0.95, g.beam)
+    true = x @ x.T >= 0.95
+    assert true[a, b].sum() >= 0.99 * true.sum()
+
+
+def test_embedding_ids(spark):
+    """Rows without an id link with nothing, and repeated rows count each."""
+    near = [[1.0, 0.0, 0.1], [1.0, 0.02, 0.1], [0.0, 1.0, 0.0]]
+    rows = [(5, near[0]), (5, near[0]), (3, near[1]), (None, near[0]), (None, near[0]), (None, None), (7, near[2]), (8, [-0.0, 1.0, 0.0]), (9, []), (10, [0.0] * 3)]
+    got = Counter((x.vec_id, x.n_links, x.component_id, x.kept) for x in embedding_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    want = Counter({(5, 2, 3, False): 2, (3, 2, 3, True): 1, (None, 0, None, True): 3, (7, 1, 7, True): 1, (8, 1, 7, False): 1, (9, 0, 9, True): 1, (10, 0, 10, True): 1})
+    assert got == want
+
+
 def test_dual_descent():
     """The hinge-loss fit against projected gradient steps on the whole dual: the same objective."""
     r = np.random.default_rng(5)
@@ -564,6 +632,49 @@ def test_log_ratios():
     assert not model.weight[2:].any()
 
 
+def test_features():
+    """Features are the distinct runs of one to three words and word shapes: as many, and the same where those are the same."""
+    texts = [t or "" for _, t, *_ in made(n=40)] + ["A1 a1 B2!", "é1 ab ab ab", "A-B a-b", "x" * 5000]
+
+    def shape(word, again):
+        if again:
+            return "again"
+        kinds = ["0" if c in "0123456789" else "A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" or ord(c) > 127 else c for c in word]
+        return "".join(k for i, k in enumerate(kinds) if i == 0 or k != kinds[i - 1] or k not in "0Aa")
+
+    def grams(text):
+        words = WORD.findall(text)
+        lower = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in words]
+        shapes = [shape(w, i > 0 and lower[i] == lower[i - 1]) for i, w in enumerate(words)]
+        return {(kind, *x[i : i + n]) for kind, x in (("word", lower), ("shape", shapes)) for n in (1, 2, 3) for i in range(len(x) - n + 1)}
+
+    blob = [t.encode() for t in texts]
+    f, at = nbsvm.features(np.frombuffer(b"".join(blob), np.uint8), np.append(0, np.cumsum([len(b) for b in blob])))
+    mine = [set(f[a:b].tolist()) for a, b in zip(at[:-1], at[1:])]
+    want = [grams(t) for t in texts]
+    assert f.max() < 1 << nbsvm.BITS and all(len(m) <= len(w) for m, w in zip(mine, want))
+    assert sum(map(len, mine)) > 0.99 * sum(map(len, want))  # a few share a bucket
+    where = defaultdict(set)
+    for i, m in enumerate(mine):
+        for x in m:
+            where[x].add(i)
+    texts_of = defaultdict(set)
+    for i, w in enumerate(want):
+        for x in w:
+            texts_of[x].add(i)
+    sets = Counter(map(frozenset, texts_of.values()))
+    assert sum((Counter(map(frozenset, where.values())) - sets).values()) < 0.01 * len(texts_of)
+
+
+def test_fit_bytes(spark):
+    """Texts beyond the bound of bytes are left out of the fit, and scored all the same."""
+    rows = [(i, ("good " if i % 2 else "BAD! ") * 30, i % 2) for i in range(300)] + [(1000, "BAD! " * 100_000, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = nbsvm.train(df, df, fit_bytes=20_000)
+    got = {x.doc_id: x.predicted for x in nbsvm.score(df, model).collect()}
+    assert all(got[i] == i % 2 for i in range(300)) and got[1000] == 0
+
+
 def test_classifier_edges(spark, docs, empty):
     labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
     model = nbsvm.train(docs, labels)
