@@ -64,10 +64,9 @@ def assert_key(df: DataFrame, key: list[str]) -> DataFrame:
 def insert_returning(table: SessionTable, rows: DataFrame, order: list[str], key: str = "id") -> DataFrame:
     """Give ``rows`` the next keys, append them, and return the keyed rows.
 
-    The keyed rows are written once, so what is returned and what is stored agree. One writer
-    at a time is assumed.
+    The keyed rows are written once, into the table, and read from there, so what is returned and what is stored
+    agree. One writer at a time is assumed.
     """
     last = table.df().agg(F.max(key)).first()[0] or 0
-    keyed = stored(with_serial(rows, order, key, start=last + 1), "keyed")
-    table.append(keyed.select(*[c for c in table.schema.names if c in keyed.columns]))
-    return keyed
+    keyed = table.append_all(with_serial(rows, order, key, start=last + 1))
+    return keyed.select(*(c for c in keyed.columns if c == key or c in rows.columns))

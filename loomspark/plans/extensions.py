@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.variants import document, field, shape
+from ..operators.groups import HLL_ERROR, KLL_ERROR, cube_sets, grouping_sets, merged, sketches, top_rows, trailing
 from ..operators.timejoins import asof_join, interval_join, ticks
 from ..sources import load
+from ..sources.versioned import VersionedTables
 from ..streaming.eventtime import SESSION, joined_within, late_rows, running_sessions, sessions, tumbling
 from ..streaming.incremental import Incremental, replay
 
@@ -94,7 +97,73 @@ def ext_stream_join(spark: SparkSession, sf: str) -> DataFrame:
     return job.result("event_id BIGINT, user_id BIGINT, purchase_id BIGINT")
 
 
-QUERIES = {f.__name__: f for f in (ext_asof_join, ext_interval_join, ext_late_windows, ext_session_windows, ext_running_sessions, ext_stream_join)}
+def ext_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals of customers, kept up by a merge for each order status. A customer with eight or more orders in a later
+    status is removed then. Each merge and its row in a second table are one commit."""
+    orders = load(spark, sf, "orders").select("o_custkey", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    tables = VersionedTables(spark)
+    with tables.transaction() as change:
+        change.create("totals", spark.createDataFrame([], "o_custkey BIGINT, n BIGINT, cents BIGINT, last_status STRING"), ["o_custkey"])
+        change.create("merges", spark.createDataFrame([], "status STRING, customers BIGINT, total_n BIGINT"), ["status"], buckets=1)
+    for status in ("F", "O", "P"):
+        new = orders.where(F.col("o_orderstatus") == status).groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"), F.min("o_orderstatus").alias("last_status"))
+        with tables.transaction() as change:
+            change.merge("totals", new, matched={"n": F.col("t.n") + F.col("s.n"), "cents": F.col("t.cents") + F.col("s.cents"), "last_status": F.col("s.last_status")}, delete=F.col("s.n") >= 8)
+            change.insert("merges", change.read("totals").agg(F.lit(status).alias("status"), F.count("*").alias("customers"), F.sum("n").alias("total_n")))
+    return tables.read("totals").join(tables.read("merges").select(F.col("status").alias("last_status"), "customers", "total_n"), "last_status", "left")
+
+
+def ext_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantities and numbers of suppliers for the cube of flag, status and year of shipment."""
+    items = load(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", F.year("l_shipdate").alias("ship_year"), F.col("l_quantity").cast("long").alias("q"), "l_suppkey")
+    return grouping_sets(items, cube_sets(["l_returnflag", "l_linestatus", "ship_year"]), sums={"quantity": F.col("q"), "n_rows": F.lit(1)}, distinct={"n_suppliers": "l_suppkey"})
+
+
+def ext_trailing(spark: SparkSession, sf: str) -> DataFrame:
+    """For each event, the events of its user within the two days before it, and their value."""
+    events = load(spark, sf, "events")
+    rows = events.select("event_id", "user_id", ticks(events, "ts").alias("us"), F.round(F.col("value") * 100).cast("long").alias("cents"))
+    return trailing(rows, by=["user_id"], time="us", before=48 * HOUR_US, slice_=96 * HOUR_US, aggregates={"n": F.count("*"), "cents_before": F.sum("cents")}).select("event_id", "n", "cents_before")
+
+
+def ext_top_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The three events of the highest value of each type, and of each user."""
+    events = load(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    order = [F.desc("value"), F.col("event_id")]
+    return top_rows(events, by=["event_type"], order=order, k=3).select(F.lit("type").alias("per"), "event_type", "event_id", "rank").unionByName(top_rows(events, by=["user_id"], order=order, k=3).select(F.lit("user").alias("per"), "event_type", "event_id", "rank"))
+
+
+def ext_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers and median price of the orders of each month, from sketches kept for each day: whether the exact values lie
+    within three standard errors of the count and within the rank error of the median."""
+    orders = load(spark, sf, "orders").select("o_custkey", "o_totalprice", F.to_date("o_orderdate").alias("day"))
+    days = sketches(orders, by=[F.col("day")], distinct="o_custkey", value="o_totalprice")
+    month = F.date_format("day", "yyyy-MM").alias("month")
+    months = merged(days, by=[month]).select("month", "n", F.hll_sketch_estimate("distinct_sketch").alias("customers"), F.expr("kll_sketch_get_quantile_double(value_sketch, 0.5D)").alias("median"))
+    exact = orders.groupBy(month).agg(F.count_distinct("o_custkey").alias("exact"))
+    # the rank of the estimate: the share of rows below it, and of those up to it
+    below = orders.withColumn("month", month).join(F.broadcast(months.select("month", "median")), "month").groupBy("month").agg(F.avg((F.col("o_totalprice") < F.col("median")).cast("int")).alias("low"), F.avg((F.col("o_totalprice") <= F.col("median")).cast("int")).alias("high"))
+    near = F.abs(F.col("customers") - F.col("exact")) <= F.greatest(F.lit(1.0), 3 * HLL_ERROR * F.col("exact"))
+    ranked = (F.col("low") <= 0.5 + KLL_ERROR) & (F.col("high") >= 0.5 - KLL_ERROR)
+    return months.join(exact, "month").join(below, "month").select("month", "n", F.col("exact").alias("n_customers"), near.alias("count_within"), ranked.alias("median_within"))
+
+
+def ext_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as documents whose shape depends on their type, read by paths, with the merged schema of each type."""
+    events = load(spark, sf, "events")
+    k = F.get_json_object("props", "$.k")
+    text = F.when(F.col("event_type") == "error", F.concat(F.lit('{"k": "'), k, F.lit('", "tags": ["e"]}'))).when(F.col("event_type") == "click", F.concat(F.lit('{"k": '), k, F.lit(', "at": {"x": '), k, F.lit(', "y": null}}'))).otherwise(F.col("props"))
+    docs = events.select("event_type", document(text).alias("doc"))
+    return docs.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(field(F.col("doc"), "$.k", "bigint")).alias("sum_k"), F.count(field(F.col("doc"), "$.at.x", "int")).alias("n_x"), F.count(field(F.col("doc"), "$.tags[0]", "string")).alias("n_tags"), shape(F.col("doc")).alias("shape"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        ext_asof_join, ext_interval_join, ext_late_windows, ext_session_windows, ext_running_sessions, ext_stream_join,
+        ext_merge, ext_grouping_sets, ext_trailing, ext_top_rows, ext_sketches, ext_variants,
+    )
+}
 
 _CENTS = "CAST(round(value * 100) AS BIGINT)"
 _ISLANDS = f"""
@@ -143,5 +212,40 @@ FROM s GROUP BY user_id, nth
     "ext_stream_join": """
 SELECT c.event_id, c.user_id, p.event_id AS purchase_id
 FROM events c LEFT JOIN events p ON p.event_type = 'purchase' AND p.user_id = c.user_id AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 1 HOUR WHERE c.event_type = 'click'
+""",
+    "ext_merge": """
+WITH a AS (
+  SELECT o_custkey, o_orderstatus AS st, count(*) AS n, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents FROM orders GROUP BY ALL
+), f AS (
+  SELECT o_custkey, n, cents, st FROM a WHERE st = 'F'
+), o AS (
+  SELECT o_custkey, coalesce(f.n, 0) + coalesce(s.n, 0) AS n, coalesce(f.cents, 0) + coalesce(s.cents, 0) AS cents, coalesce(s.st, f.st) AS st
+  FROM f FULL JOIN (SELECT * FROM a WHERE st = 'O') s USING (o_custkey) WHERE f.n IS NULL OR coalesce(s.n, 0) < 8
+), p AS (
+  SELECT o_custkey, coalesce(o.n, 0) + coalesce(s.n, 0) AS n, coalesce(o.cents, 0) + coalesce(s.cents, 0) AS cents, coalesce(s.st, o.st) AS st
+  FROM o FULL JOIN (SELECT * FROM a WHERE st = 'P') s USING (o_custkey) WHERE o.n IS NULL OR coalesce(s.n, 0) < 8
+), m AS (
+  SELECT 'F' AS st, count(*) AS customers, sum(n) AS total_n FROM f UNION ALL SELECT 'O', count(*), sum(n) FROM o UNION ALL SELECT 'P', count(*), sum(n) FROM p
+)
+SELECT o_custkey, CAST(n AS BIGINT) AS n, CAST(cents AS BIGINT) AS cents, st AS last_status, customers, CAST(total_n AS BIGINT) AS total_n FROM p LEFT JOIN m USING (st)
+""",
+    "ext_grouping_sets": """
+SELECT l_returnflag, l_linestatus, CAST(ship_year AS INTEGER) AS ship_year, CAST(sum(q) AS BIGINT) AS quantity, count(*) AS n_rows, count(DISTINCT l_suppkey) AS n_suppliers, GROUPING(l_returnflag, l_linestatus, ship_year) AS grouping_id
+FROM (SELECT *, year(l_shipdate) AS ship_year, CAST(trunc(l_quantity) AS BIGINT) AS q FROM lineitem) GROUP BY CUBE (l_returnflag, l_linestatus, ship_year)
+""",
+    "ext_trailing": f"""
+SELECT event_id, count(*) OVER w AS n, CAST(sum({_CENTS}) OVER w AS BIGINT) AS cents_before
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN {48 * HOUR_US} PRECEDING AND CURRENT ROW)
+""",
+    "ext_top_rows": """
+SELECT 'type' AS per, event_type, event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS INTEGER) AS rank FROM events QUALIFY rank <= 3
+UNION ALL
+SELECT 'user', event_type, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS INTEGER) AS rank FROM events QUALIFY rank <= 3
+""",
+    "ext_sketches": "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, count(DISTINCT o_custkey) AS n_customers, true AS count_within, true AS median_within FROM orders GROUP BY 1",
+    "ext_variants": """
+SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k, count(*) FILTER (event_type = 'click') AS n_x, count(*) FILTER (event_type = 'error') AS n_tags,
+  CASE event_type WHEN 'click' THEN 'OBJECT<at: OBJECT<x: BIGINT, y: VOID>, k: BIGINT>' WHEN 'error' THEN 'OBJECT<k: STRING, tags: ARRAY<STRING>>' ELSE 'OBJECT<k: BIGINT>' END AS shape
+FROM events GROUP BY event_type
 """,
 }

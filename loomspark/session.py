@@ -5,9 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths that the innermost ``temporaries`` is to delete.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
@@ -49,7 +55,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, kind: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def temporaries(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete all that is stored below the shared folder within the block, once it ends, but for paths that are removed from
+    the list. DataFrames that read it can't be used after that, so what is to stay must be stored and taken off the list."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+        for path in made:
+            discard(spark, path)
 
 
 def stored(df: DataFrame, kind: str = "stored") -> DataFrame:

@@ -45,10 +45,24 @@ class SessionTable:
         """Add rows; columns that ``df`` lacks become null, unknown ones are an error."""
         if extra := set(df.columns) - set(self.schema.names):
             raise ValueError(f"no such columns: {sorted(extra)}")
-        have = set(df.columns)
+        self.append_all(df)
+
+    def append_all(self, df: DataFrame) -> DataFrame:
+        """Add rows and return them as they were written. Columns that the table doesn't have are written beside its own,
+        which the table doesn't read, and returned. One writer at a time is assumed."""
+        have, own = set(df.columns), set(self.schema.names)
         cols = [f"CAST({'`' + f.name + '`' if f.name in have else 'NULL'} AS {f.dataType.simpleString()}) AS `{f.name}`" for f in self.schema]
-        df.selectExpr(*cols).write.mode("append").parquet(self.path)
+        typed = df.selectExpr(*cols, *(f"`{c}`" for c in df.columns if c not in own))
+        before = self._files()
+        typed.write.mode("append").parquet(self.path)
         self.spark.catalog.refreshTable(self.name)
+        new = sorted(self._files() - before)  # a name for each task
+        return self.spark.read.schema(typed.schema).parquet(*new) if new else typed.limit(0)
+
+    def _files(self) -> set[str]:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        return {f.getPath().toString() for f in files if f.getPath().getName().startswith("part-")}
 
     def insert(self, columns: list[str], values: list[object]) -> None:
         """One row of bound values."""
