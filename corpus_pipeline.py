@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import jaccard, line_dedup, mixing, packing, quality_rules
 from loomspark.llm.tokens import default_tokenizer
-from loomspark.session import stored
+from loomspark.session import forget, stored, temporaries
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage has stored on its way goes when its result is written, and the result goes when
+    that of the next stage is; only the tables that the last stage reads stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with temporaries(spark) as made:
+            result = stored(stage(spark, docs, sf_dir), name)
+            made.remove(result.stored_at)
+        forget(docs)
+        docs = result
     return STAGES[-1][1](spark, docs, sf_dir)
