@@ -28,6 +28,8 @@ RANGE_BYTES = 256 << 20
 SLICE_DOCS = 1 << 16
 #: Ids that are held at once in reading; a longer document is held alone.
 IDS = 1 << 20
+#: Characters of a text by which rows with equal doc_ids are dealt to ranges.
+PREFIX = 256
 
 
 def place(uri: str) -> tuple[fs.FileSystem, str]:
@@ -68,23 +70,28 @@ def _writer(folder: str, tokenizer: str, end_id: int, width: int) -> Callable:
 def write(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 0, width: int = 2, range_bytes: int = RANGE_BYTES) -> None:
     """Encode ``docs`` (doc_id, text) into files below ``folder``, a folder all executors share.
 
-    Rows are range-partitioned and sorted by doc_id (null first; rows with equal doc_ids stay
-    together, in the order of their texts), each partition is one range, and a document is its ids and ``end_id``.
-    A range has about ``range_bytes`` of text, or less. A null or empty text is the end id alone. A lost task
-    is written again under another name.
+    Rows are range-partitioned and sorted by doc_id (null first; rows with equal doc_ids follow each
+    other, in the order of their texts, over as many ranges as they fill, but that texts with the same first ``PREFIX`` characters
+    and more share one), each partition is one range, and a document is
+    its ids and ``end_id``. A range has about ``range_bytes`` of text, or less. A null or empty text is the end id
+    alone, repeated rows are documents each, other columns are ignored, and of an empty table no range is written. A lost
+    task is written again under another name.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_writer(folder, tokenizer, end_id, width), MANIFEST).write.parquet(f"{folder}/manifest")
+    prefix = F.substring("text", 1, PREFIX)
+    # equal texts that are not longer may lie in several ranges, before the longer ones that begin with them
+    salt = F.when(prefix.eqNullSafe(F.col("text")), F.monotonically_increasing_id()).otherwise(F.lit((1 << 63) - 1))
+    ordered = rows.withColumn("salt", salt).repartitionByRange(parts, "doc_id", prefix, "salt").sortWithinPartitions("doc_id", "text")
+    ordered.select("doc_id", "text").mapInArrow(_writer(folder, tokenizer, end_id, width), MANIFEST).write.parquet(f"{folder}/manifest")
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each range of files with ``base``, the ids of all ranges before it."""
     ranges = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
-    # a row for each file, so one task does for the running sum
-    before = Window.orderBy(F.col("first_doc").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each file, so one task does for the running sum; names begin with the number of their range
+    before = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
     return ranges.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
