@@ -433,6 +433,30 @@ def test_encoder_without_cuts():
     assert not e.by_piece and [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_token_files_of_one_id(spark, tmp_path, monkeypatch):
+    """Rows without an id, or with one, fill as many ranges as they need, and places follow the ranges."""
+    rows = [(None, f"text {i % 40} " * 5) for i in range(400)] + [(3, f"more {i}") for i in range(200)] + [(4, None), (5, "last")]
+    folder = scratch(spark, "tokens")
+    token_files.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), folder, default_tokenizer())
+    files = token_files.manifest(spark, folder).orderBy("name").collect()
+    assert max(f.n_docs for f in files) < 400 and sum(f.n_nulls for f in files) == 400
+    got = sorted(token_files.read(spark, folder, slice_docs=37).collect(), key=lambda x: x.start)
+    assert [x.start for x in got] == [0, *np.cumsum([x.n_tokens for x in got])[:-1].tolist()]
+    assert [x.doc_id for x in got] == [None] * 400 + [3] * 200 + [4, 5]
+    want = Counter((d, np.array(ids_of(t), "<u4").tobytes()) for d, t in rows)
+    assert Counter((x.doc_id, bytes(x.ids)) for x in got) == want
+
+
+def test_packing_of_one_id(spark, monkeypatch):
+    """Repeated rows and rows without an id spread over shards, and each is packed."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 100)
+    rows = [(None, "a b c")] * 300 + [(1, "d e")] * 300
+    got = packing.packed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), default_tokenizer(), tokens=64).collect()
+    assert Counter(x.doc_id for x in got) == Counter({None: 300, 1: 300})
+    shards = Counter(x.sequence_id >> 32 for x in got)
+    assert len(shards) == 6 and max(shards.values()) < 250
+
+
 def test_token_files(spark, docs, empty):
     folder = scratch(spark, "t")
     token_files.write(docs.union(spark.createDataFrame([(None, "no id", "", "", "", 1)], SCHEMA)), folder, default_tokenizer())
