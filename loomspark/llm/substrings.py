@@ -247,7 +247,8 @@ def dedup(docs: DataFrame, *, window: int = 20) -> DataFrame:
     A word goes if a window of ``window`` words that covers it also starts at an earlier place: in
     a document with a smaller doc_id, or earlier in the same one. A null text has no words.
     Rows that share a doc_id are each judged against smaller doc_ids and themselves, not against
-    each other; rows with a null doc_id only against themselves. Other columns are ignored.
+    each other; rows with a null doc_id only against themselves. Other columns are ignored; an empty table gives no
+    rows.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     paths = rows.where("doc_id IS NOT NULL").mapInArrow(_paths(window), "doc_id long, anchor long, path long, after long, before long")
