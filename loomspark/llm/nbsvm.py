@@ -24,6 +24,8 @@ BITS = 20
 #: The bounds of the fit: labelled rows at most, those with the smallest hashes, and bytes of their texts.
 #: A text that is longer than a hundredth of these is left out of the fit; all texts are scored in full.
 FIT_ROWS, FIT_BYTES = 12_000, 96 << 20
+#: A feature in fewer rows of the fit tells nothing and has no weight.
+LEAST_ROWS = 2
 #: Of those, one in so many is kept for the logistic curve.
 CURVE = 5
 
@@ -118,6 +120,7 @@ def fit(rows: list[np.ndarray], label: np.ndarray, *, smooth: float = 1.0, cost:
     own = np.flatnonzero(~curve)
     counts = [smooth + np.bincount(np.concatenate([np.zeros(0, np.int32), *(rows[i] for i in own if positive[i] == c)]), minlength=size) for c in (False, True)]
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    ratio[counts[0] + counts[1] < 2 * smooth + LEAST_ROWS] = 0.0
     y = np.where(positive, 1.0, -1.0)
     n = positive[own].mean()
     weights = np.where(positive[own], 0.5 / n, 0.5 / (1 - n)) * cost  # both classes weigh the same
