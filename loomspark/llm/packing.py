@@ -59,7 +59,7 @@ def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple
 def _pieces(tokenizer: str, end_id: int, most: int, shards: int) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
-        for batch, data, offsets in chunks(batches, limit=CHUNK):
+        for number, (batch, data, offsets) in enumerate(chunks(batches, limit=CHUNK)):
             ids, sizes = encoder.encode(data, offsets)
             ids = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4")
             sizes = sizes + 1
@@ -71,13 +71,13 @@ def _pieces(tokenizer: str, end_id: int, most: int, shards: int) -> Callable:
             start = np.where(piece == 0, 0, short + (piece - 1) * most)
             length = np.where(piece == 0, short, most)
             names = batch.column("doc_id")
-            # rows that share a doc_id are told apart by their number within the chunk, so that many of them spread over shards
+            # rows that share a doc_id are told apart by their chunk and number within it, so that many of them spread over shards
             known = np.asarray(names.fill_null(-1), np.int64)
             order = np.argsort(known, kind="stable")
             new = np.append(True, known[order][1:] != known[order][:-1])
             again = np.empty(len(order), np.int64)
             again[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-            key = mix(known.view(U) + U(0x9E3779B97F4A7C15) * again.astype(U))[doc]
+            key = mix(known.view(U) + U(0x9E3779B97F4A7C15) * (again + (number << 20)).astype(U))[doc]
             shard = (mix(key + piece.astype(U)) % U(shards)).astype(np.int32)
             cuts = np.concatenate([[0], np.cumsum(length)]) * 4
             blob = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
