@@ -1,4 +1,4 @@
-"""As-of and interval joins (extensions), as unions, windows and equi-joins; no range condition is joined on."""
+"""As-of and interval joins (extensions), as unions, windows and equi-joins; no join has a range condition alone."""
 
 from __future__ import annotations
 
@@ -14,6 +14,10 @@ from ..session import stored
 SLICE_ROWS = 1_000_000
 #: Slices of a key at most, so that their carried rows stay few.
 MOST_SLICES = 10_000
+#: Pairs of rows of one key up to which an interval join compares them all.
+PLAIN_PAIRS = 10_000
+#: Keys with more pairs that are told from the others by a broadcast of them; beyond, all keys are dealt to bins.
+MOST_MANY = 10_000
 
 
 def ticks(df: DataFrame, column: str) -> Column:
@@ -102,11 +106,14 @@ def interval_join(
     whose start is after its end, overlaps nothing. ``columns`` names the columns of ``right`` to add and their names in
     the result; with ``how="left"`` the rows of ``left`` without a partner stay, with nulls.
 
-    Spans are dealt to bins, which are joined as keys. Bins have levels: the bins of level n are ``width`` times
+    A key with few rows (up to ``PLAIN_PAIRS`` pairs of rows) is joined as it is, and its pairs are compared. The spans of the others are dealt to
+    bins, which are joined as keys. Bins have levels: the bins of level n are ``width`` times
     2 to the n wide (in ``ticks``), and a span belongs to the first level at which it is no longer than a bin, so it
     covers two bins there at most, however long it is. A pair meets at the level of its longer span, where the shorter one is dealt
     too, and counts in the bin where its later start is. So each pair is found once, and a
     row is dealt to two bins for each level of spans that the other side has.
+
+    No join here is a broadcast of rows: what Spark expects of a table's size is that of its files, of which dealt rows are many times as many.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"no such join: {how}")
@@ -114,33 +121,65 @@ def interval_join(
         raise ValueError(f"left has columns of these names: {sorted(taken)}")
     keys = [f"k{i}" for i in range(len(by))]
 
-    def spans(df: DataFrame, span: tuple[str, str], row: Column, *more: Column) -> DataFrame:
+    def spans(df: DataFrame, span: tuple[str, str], names: list[str], tag: str) -> DataFrame:
         start, end = (ticks(df, c).cast("double") for c in span)
-        out = df.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(by, keys)), start.alias("start"), end.alias("end"), row.alias("row"), *more)
-        # the length of a span in bins of level 0, rounded up to a power of two
-        level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest((F.col("end") - F.col("start")) / width, F.lit(1.0)))))
-        return out.where(F.col("start") <= F.col("end")).withColumn("level", level.cast("int"))
-
-    left = left if how == "inner" else stored(left.withColumn("__row", F.monotonically_increasing_id()), "left")
-    names = [c for c in left.columns if c != "__row"]
-    a = spans(left, left_span, _struct(left, names), *([F.col("__row")] if how == "left" else []))
-    b = spans(right, right_span, _struct(right, list(columns)))
-    a_levels, b_levels = ([r.level for r in x.select("level").distinct().collect()] for x in (a, b))  # some fifty at most
-
-    def dealt(df: DataFrame, levels: list[int]) -> DataFrame:
-        every = F.filter(F.array_distinct(F.concat(F.array(F.col("level")), F.array(*map(F.lit, levels)).cast("array<int>"))), lambda x: x >= F.col("level"))
-        size = F.pow(F.lit(2.0), F.col("at")) * width
-        first, last = F.floor(F.col("start") / size), F.floor(F.col("end") / size)
-        return df.withColumn("at", F.explode(every)).withColumn("bin", F.explode(F.sequence(first, last)))
-
-    x = dealt(a, b_levels).select(*keys, "at", "bin", F.col("start").alias("a0"), F.col("end").alias("a1"), F.col("level").alias("la"), F.col("row").alias("l"), *([F.col("__row")] if how == "left" else []))
-    y = dealt(b, a_levels).select(*keys, "at", "bin", F.col("start").alias("b0"), F.col("end").alias("b1"), F.col("level").alias("lb"), F.col("row").alias("r"))
+        out = df.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(by, keys)), start.alias(f"{tag}0"), end.alias(f"{tag}1"), _struct(df, names).alias("l" if tag == "a" else "r"))
+        sound = reduce(lambda x, y: x & y, (F.col(k).isNotNull() for k in keys), F.col(f"{tag}0") <= F.col(f"{tag}1"))
+        return out.withColumn("sound", F.coalesce(sound, F.lit(False)))
+
+    names = left.columns
+    every = spans(left if how == "inner" else stored(left, "left"), left_span, names, "a")
+    a, b = every.where("sound").drop("sound"), spans(right, right_span, list(columns), "b").where("sound").drop("sound")
+    r_type = b.schema["r"].dataType
     overlap = (F.col("a0") <= F.col("b1")) & (F.col("b0") <= F.col("a1"))
-    once = (F.col("at") == F.greatest("la", "lb")) & (F.col("bin") == F.floor(F.greatest("a0", "b0") / (F.pow(F.lit(2.0), F.col("at")) * width)))
-    pairs = x.join(y, [*keys, "at", "bin"]).where(overlap & once)
-    out = [F.col(f"l.`{c}`").alias(c) for c in names] + [F.col(f"r.`{c}`").alias(name) for c, name in columns.items()]
-    if how == "inner":
-        return pairs.select(*out)
-    pairs = stored(pairs.select("__row", "l", "r"), "pairs")
-    alone = left.join(pairs.select("__row"), "__row", "left_anti").select(_struct(left, names).alias("l"), F.lit(None).cast(pairs.schema["r"].dataType).alias("r"))
-    return pairs.select("l", "r").unionByName(alone).select(*out)
+
+    def plain(a: DataFrame, b: DataFrame) -> DataFrame:
+        y = b.select(*(F.col(k).alias(f"r{k}") for k in keys), "b0", "b1", "r").hint("merge")
+        same = reduce(lambda x, k: x & (F.col(k) == F.col(f"r{k}")), keys, overlap)
+        return a.join(y, same, how).select("l", "r")
+
+    def binned(a: DataFrame, b: DataFrame) -> DataFrame:
+        if how == "left":
+            a = stored(a.withColumn("__row", F.monotonically_increasing_id()), "left")
+        row = ["__row"] if how == "left" else []
+        # the length of a span in bins of level 0, rounded up to a power of two
+        level = lambda t: F.greatest(F.lit(0), F.ceil(F.log2(F.greatest((F.col(f"{t}1") - F.col(f"{t}0")) / width, F.lit(1.0))))).cast("int")
+        a, b = a.withColumn("la", level("a")), b.withColumn("lb", level("b"))
+        a_levels, b_levels = ([r[0] for r in x.select(n).distinct().collect()] for x, n in ((a, "la"), (b, "lb")))  # some fifty at most
+
+        def dealt(df: DataFrame, tag: str, levels: list[int]) -> DataFrame:
+            own = F.col(f"l{tag}")
+            met = F.filter(F.array_distinct(F.concat(F.array(own), F.array(*map(F.lit, levels)).cast("array<int>"))), lambda x: x >= own)
+            size = F.pow(F.lit(2.0), F.col("at")) * width
+            first, last = F.floor(F.col(f"{tag}0") / size), F.floor(F.col(f"{tag}1") / size)
+            return df.withColumn("at", F.explode(met)).withColumn("bin", F.explode(F.sequence(first, last)))
+
+        x, y = dealt(a, "a", b_levels), dealt(b, "b", a_levels)
+        once = (F.col("at") == F.greatest("la", "lb")) & (F.col("bin") == F.floor(F.greatest("a0", "b0") / (F.pow(F.lit(2.0), F.col("at")) * width)))
+        pairs = x.join(y.hint("merge"), [*keys, "at", "bin"]).where(overlap & once).select(*row, "l", "r")
+        if how == "inner":
+            return pairs
+        pairs = stored(pairs, "pairs")
+        alone = a.join(pairs.select("__row").hint("merge"), "__row", "left_anti")
+        return pairs.select("l", "r").unionByName(alone.select("l", F.lit(None).cast(r_type).alias("r")))
+
+    if not by:
+        parts = [binned(a, b)]
+    else:
+        one, none = F.count("*"), F.lit(0).cast("long")
+        sides = a.groupBy(*keys).agg(one.alias("n"), none.alias("m")).unionByName(b.groupBy(*keys).agg(none.alias("n"), one.alias("m")))
+        # as decimals, since the product of two counts may pass a long
+        n, m = (F.greatest(F.sum(c), F.lit(1)).cast("decimal(18,0)") for c in ("n", "m"))
+        many = stored(sides.groupBy(*keys).agg((n * m).alias("pairs")).where(F.col("pairs") > PLAIN_PAIRS).select(*keys), "keys")
+        n_many = many.count()
+        if not n_many:
+            parts = [plain(a, b)]
+        elif n_many > MOST_MANY:
+            parts = [binned(a, b)]
+        else:
+            few, lot = ([df.join(F.broadcast(many), keys, kind) for df in (a, b)] for kind in ("left_anti", "left_semi"))
+            parts = [plain(*few), binned(*lot)]
+    if how == "left":
+        parts.append(every.where("NOT sound").select("l", F.lit(None).cast(r_type).alias("r")))
+    both = reduce(DataFrame.unionByName, parts)
+    return both.select(*(F.col(f"l.`{c}`").alias(c) for c in names), *(F.col(f"r.`{c}`").alias(name) for c, name in columns.items()))

@@ -27,7 +27,7 @@ def ext_interval_join(spark: SparkSession, sf: str) -> DataFrame:
     """For each order, the orders that its customer placed from its first to its last shipment."""
     shipped = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))
     orders = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    left = orders.join(shipped, "o_orderkey").select("o_orderkey", "o_custkey", "first_ship", "last_ship")
+    left = orders.join(shipped.hint("merge"), "o_orderkey").select("o_orderkey", "o_custkey", "first_ship", "last_ship")
     pairs = interval_join(left, orders, left_span=("first_ship", "last_ship"), right_span=("o_orderdate", "o_orderdate"), by=["o_custkey"], columns={"o_orderkey": "placed_key"}, width=7 * 24 * HOUR_US, how="left")
     return pairs.select("o_orderkey", "placed_key")
 

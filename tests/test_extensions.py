@@ -81,6 +81,48 @@ def test_intervals(spark, how, width):
     assert interval_join(a.limit(0), b, left_span=("s", "e"), right_span=("s", "e"), columns={"id": "rid"}, width=width, how=how).count() == 0
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("plain, most", [(0, 100), (300, 100), (300, 0), (10_000, 100)])
+def test_intervals_of_keys_with_many_rows(spark, monkeypatch, how, plain, most):
+    """Keys joined as they are and keys dealt to bins, alone and together; no rows are broadcast, whatever Spark takes their sizes for."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    keep = timejoins.stored
+    monkeypatch.setattr(timejoins, "stored", lambda df, kind: keep(seen(df), kind))
+    monkeypatch.setattr(timejoins, "PLAIN_PAIRS", plain)
+    monkeypatch.setattr(timejoins, "MOST_MANY", most)
+    r = random.Random(5)
+
+    def spans(n, keys):
+        starts = [(i, r.choice(keys), r.choice([None, *range(90)])) for i in range(n)]
+        return [(i, k, s, None if s is None else s + r.choice([0, 1, 9, 300, -1])) for i, k, s in starts]
+
+    # key 0 has most rows, 5 has none on the right, 6 none on the left
+    left, right = spans(150, [None, 0, 0, 0, 1, 2, 5]), spans(160, [None, 0, 0, 0, 1, 2, 6])
+    a, b = spark.createDataFrame(left, "id int, k int, s int, e int"), spark.createDataFrame(right, "id int, k int, s int, e int").repartition(3)
+    a, b = keep(a, "a"), keep(b, "b")
+    got = seen(interval_join(a, b, left_span=("s", "e"), right_span=("s", "e"), by=["k"], columns={"id": "rid"}, width=4.0, how=how))
+    want = Counter()
+    for i, k, s, e in left:
+        hits = [j for j, l, s2, e2 in right if None not in (k, s, s2) and k == l and s <= e and s2 <= e2 and s <= e2 and s2 <= e]
+        for j in hits or ([None] if how == "left" else []):
+            want[(i, k, s, e, j)] += 1
+    assert counted(got) == want
+    # only the keys with many rows may be, which are counted first
+    assert not any("BroadcastHashJoin [__row" in p or "Inner, Build" in p or "LeftOuter, Build" in p for p in plans)
+    assert (plain < 10_000 and most == 100) or not any("Broadcast" in p for p in plans)
+
+
+def test_interval_query_broadcasts_no_rows(spark):
+    from loomspark.plans.extensions import ext_interval_join
+
+    assert "Broadcast" not in ext_interval_join(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 T0 = dt.datetime(2024, 1, 1)
 ROW = "id BIGINT, u BIGINT, type STRING, amount BIGINT, time TIMESTAMP"
 
