@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 
 def tumbling(stream: DataFrame, *, time: str, width: str, delay: str, keys: list[str], aggregates: list[Column]) -> DataFrame:
@@ -53,10 +56,17 @@ def joined_within(left: DataFrame, right: DataFrame, *, by: list[str], left_time
 SESSION = "start BIGINT, end BIGINT, n_events BIGINT, amount BIGINT, first_id BIGINT, first_type STRING, last_id BIGINT, last_type STRING"
 
 
+#: Groups that keys are dealt to by a hash. A group is one call and one timer, so that their cost doesn't follow the number of keys.
+GROUPS = 512
+#: Sessions in one value of the state, and pieces that are gathered at least before they are merged.
+BLOCK = 50_000
+
+
 class RunningSessions(StatefulProcessor):
-    """Sessions of one key that grow and merge as rows come in any order, and end by a timer.
+    """Sessions of a group of keys that grow and merge as rows come in any order, and end by a timer.
 
-    State is a list of sessions and not of rows, so a key with very many rows holds little. A session is emitted and dropped when the watermark
+    State is a list of blocks of sessions (Arrow bytes, so that keys of any plain type come back as they were) and not of
+    rows, so a key with very many rows holds little. A session is emitted and dropped when the watermark
     passes ``gap_us`` after its last row.
     """
 
@@ -65,67 +75,83 @@ class RunningSessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", SESSION)
+        self.open = handle.getListState("open", "block BINARY")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        parts = [tuple(s) for s in self.open.get()]
+        held, new, n = self._held(), [], 0
         for frame in rows:
-            parts = self._merged(parts + self._of(frame))
-        self._keep(parts)
+            new.append(self._of(frame))
+            n += len(new[-1])
+            if n >= max(len(held), BLOCK):  # so that what is held isn't merged again for every frame
+                held, new, n = self._merged([held, *new]), [], 0
+        self._keep(self._merged([held, *new]))
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        parts = [tuple(s) for s in self.open.get()]
-        done = [s for s in parts if s[1] + self.gap_us <= now]
-        self._keep([s for s in parts if s[1] + self.gap_us > now])
-        if done:
-            out = pd.DataFrame(done, columns=[c.split()[0] for c in SESSION.split(", ")])
-            out.insert(0, "key", key[0])
-            yield out
+        held = self._held()
+        done = held["end"] + self.gap_us <= timerValues.getCurrentWatermarkInMs() * 1000
+        self._keep(held[~done])
+        if done.any():
+            yield held[done]
 
     def close(self) -> None:
         pass
 
-    def _of(self, frame: pd.DataFrame) -> list[tuple]:
-        """The sessions that the rows (t, id, type, amount) of one frame make by themselves."""
-        f = frame.sort_values(["t", "id"], kind="stable")
-        nth = (f.t.diff() > self.gap_us).cumsum()
-        g = f.groupby(nth, sort=False)
-        made = pd.concat([g.t.first(), g.t.last(), g.t.size(), g.amount.sum(), g.id.first(), g.type.first(), g.id.last(), g.type.last()], axis=1)
-        return [tuple(int(x) if i not in (5, 7) else x for i, x in enumerate(r)) for r in made.itertuples(index=False, name=None)]
-
-    def _merged(self, parts: list[tuple]) -> list[tuple]:
-        out: list[tuple] = []
-        for s in sorted(parts, key=lambda s: (s[0], s[4])):
-            if not out or s[0] - out[-1][1] > self.gap_us:
-                out.append(s)
-                continue
-            a = out[-1]
-            first = min((a[0], a[4], a[5]), (s[0], s[4], s[5]), key=lambda x: x[:2])
-            last = max((a[1], a[6], a[7]), (s[1], s[6], s[7]), key=lambda x: x[:2])
-            out[-1] = (first[0], last[0], a[2] + s[2], a[3] + s[3], first[1], first[2], last[1], last[2])
-        return out
-
-    def _keep(self, parts: list[tuple]) -> None:
+    def _of(self, frame: pd.DataFrame) -> pd.DataFrame:
+        """The sessions that the rows (key, t, id, type, amount) of one frame make by themselves."""
+        made = {"key": frame["key"], "start": frame["t"], "end": frame["t"], "n_events": 1, "amount": frame["amount"], "first_id": frame["id"], "first_type": frame["type"], "last_id": frame["id"], "last_type": frame["type"]}
+        return self._merged([pd.DataFrame(made)])
+
+    def _merged(self, parts: list[pd.DataFrame]) -> pd.DataFrame:
+        parts = [p for p in parts if len(p)]
+        if not parts:
+            return pd.DataFrame({"key": [], "end": []})
+        s = pd.concat(parts, ignore_index=True)
+        code = s["key"].factorize(use_na_sentinel=False)[0]
+        order = np.lexsort((s["first_id"], s["start"], code))
+        s, code = s.iloc[order].reset_index(drop=True), code[order]
+        reached = s["end"].groupby(code).cummax().to_numpy()
+        begins = np.ones(len(s), bool)
+        begins[1:] = (code[1:] != code[:-1]) | (s["start"].to_numpy()[1:] - reached[:-1] > self.gap_us)
+        first = np.flatnonzero(begins)
+        # the rows in the order of their ends, session by session
+        last = np.lexsort((s["last_id"], s["end"], begins.cumsum()))[np.append(first[1:], len(s)) - 1]
+        total = lambda c: np.add.reduceat(s[c].to_numpy(), first)
+        heads, ends = s.iloc[first].reset_index(drop=True), s.iloc[last].reset_index(drop=True)
+        return heads.assign(end=ends["end"], n_events=total("n_events"), amount=total("amount"), last_id=ends["last_id"], last_type=ends["last_type"])
+
+    def _held(self) -> pd.DataFrame:
+        blocks = [pa.ipc.open_stream(bytes(b)).read_pandas() for (b,) in self.open.get()]
+        return pd.concat(blocks, ignore_index=True) if blocks else self._merged([])
+
+    def _keep(self, held: pd.DataFrame) -> None:
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        if parts:
-            self.open.put(parts)
-            self.handle.registerTimer(-(-(min(s[1] for s in parts) + self.gap_us) // 1000))
-        else:
+        if not len(held):
             self.open.clear()
-
-
-def running_sessions(stream: DataFrame, *, time: str, key: str, id_: str, type_: str, amount: str, gap_us: int, delay: str) -> DataFrame:
+            return
+        blocks = []
+        for i in range(0, len(held), BLOCK):
+            table, out = pa.Table.from_pandas(held.iloc[i : i + BLOCK], preserve_index=False), pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, table.schema) as writer:
+                writer.write_table(table)
+            blocks.append((out.getvalue().to_pybytes(),))
+        self.open.put(blocks)
+        self.handle.registerTimer(-(-(int(held["end"].min()) + self.gap_us) // 1000))
+
+
+def running_sessions(stream: DataFrame, *, time: str, key: str, id_: str, type_: str, amount: str, gap_us: int, delay: str, groups: int = GROUPS) -> DataFrame:
     """Sessions of each ``key`` with their first and last rows by (time, id), as ``RunningSessions`` keeps them: the key, and the
-    columns of ``SESSION``. Rows with a null key, time or id are left out; a null amount counts as 0.
+    columns of ``SESSION``. Rows with a null key, time or id are left out; a null amount counts as 0. The key is a number, text, time or other plain value.
 
     Rows of a session may come in any order and in any runs, as long as the watermark has not passed ``gap_us`` after
-    the session's last row; the result doesn't depend on how they are cut.
+    the session's last row; the result doesn't depend on how they are cut. ``groups`` is as many tasks as can share the keys, and
+    must stay the same for a checkpoint.
     """
+    if isinstance(stream.schema[key].dataType, (ArrayType, MapType, StructType)):
+        raise TypeError(f"{key} is no plain value: {stream.schema[key].dataType.simpleString()}")
     rows = stream.withWatermark(time, delay).where(F.col(key).isNotNull() & F.col(time).isNotNull() & F.col(id_).isNotNull())
-    rows = rows.select(F.col(key).alias("key"), F.col(time).alias("time"), F.unix_micros(time).alias("t"), F.col(id_).cast("long").alias("id"), F.col(type_).alias("type"), F.coalesce(F.col(amount).cast("long"), F.lit(0)).alias("amount"))
+    rows = rows.select(F.pmod(F.hash(key), F.lit(groups)).alias("group"), F.col(key).alias("key"), F.col(time).alias("time"), F.unix_micros(time).alias("t"), F.col(id_).cast("long").alias("id"), F.col(type_).alias("type"), F.coalesce(F.col(amount).cast("long"), F.lit(0)).alias("amount"))
     kind = stream.schema[key].dataType.simpleString()
-    made = rows.groupBy("key").transformWithStateInPandas(RunningSessions(gap_us), f"key {kind}, {SESSION}", "Append", "EventTime")
+    made = rows.groupBy("group").transformWithStateInPandas(RunningSessions(gap_us), f"key {kind}, {SESSION}", "Append", "EventTime")
     return made.withColumnRenamed("key", key)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomspark.operators import timejoins
 from loomspark.operators.timejoins import asof_join, interval_join
 from loomspark.plans.extensions import sessions_in
+from loomspark.streaming import eventtime
 from loomspark.streaming.eventtime import SESSION, joined_within, late_rows, running_sessions, sessions, tumbling
 from loomspark.streaming.incremental import Incremental, replay
 
@@ -178,6 +179,103 @@ def test_running_sessions(spark, cuts):
     assert counted(job.result(f"u BIGINT, {SESSION}")) == brute_sessions(rows, 1)
 
 
+def many_users(seed, n, users):
+    r = random.Random(seed)
+    return [(i, r.randrange(users), r.choice(["a", "b", None]), r.choice([None, 1, 2]), r.choice([x / 4 for x in range(200)])) for i in range(n)]
+
+
+def test_running_sessions_of_many_keys(spark, monkeypatch, tmp_path):
+    """A call of the processor is for a group of keys: their number follows neither the keys nor the rows."""
+
+    class Seen(eventtime.RunningSessions):
+        def handleInputRows(self, key, rows, timerValues):
+            import uuid
+
+            (folder / f"{key[0]}-{uuid.uuid4().hex}").touch()
+            return super().handleInputRows(key, rows, timerValues)
+
+    folder = tmp_path
+    monkeypatch.setattr(eventtime, "RunningSessions", Seen)
+    rows = many_users(7, 900, 300)
+    job = Incremental(spark, {"rows": ROW}, lambda s: running_sessions(s, time="time", key="u", id_="id", type_="type", amount="amount", gap_us=3_600_000_000, delay="200 hours", groups=4))
+    replay(job, {"rows": at(spark, rows)}, F.col("id") % 2, 2, close={"rows": at(spark, [(-1, -1, "z", 0, 9999)])})
+    assert counted(job.result(f"u BIGINT, {SESSION}")) == brute_sessions(rows, 1)
+    assert len(list(folder.iterdir())) == 4 + 4 + 1
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "timestamp", "decimal(20,2)", "double", "binary"])
+def test_running_sessions_by_other_keys(spark, kind):
+    """Keys come back from the state as they were."""
+    ddl = f"id BIGINT, u {kind}, type STRING, amount BIGINT, time TIMESTAMP"
+    rows = many_users(8, 120, 3)
+    u = {"date": F.date_add(F.lit("1890-03-01").cast("date"), F.col("u").cast("int")), "timestamp": F.timestamp_micros(F.col("u") * 1_000_001)}.get(kind, F.col("u").cast("string").cast(kind))
+    df = at(spark, rows).withColumn("u", u)
+    job = Incremental(spark, {"rows": ddl}, lambda s: running_sessions(s, time="time", key="u", id_="id", type_="type", amount="amount", gap_us=3_600_000_000, delay="200 hours"))
+    replay(job, {"rows": df}, F.col("id") % 2, 2, close={"rows": at(spark, [(-1, -1, "z", 0, 9999)]).withColumn("u", u)})
+    names = {tuple(r) for r in at(spark, [(0, k, "a", 0, 0) for k in range(3)]).select(u.alias("v"), "u").collect()}
+    back = {bytes(v) if kind == "binary" else v: k for v, k in names}
+    assert Counter((back[bytes(r[0]) if kind == "binary" else r[0]], *r[1:]) for r in job.result(f"u {kind}, {SESSION}").collect()) == brute_sessions(rows, 1)
+
+
+@pytest.mark.parametrize("block", [1, 7, 50_000])
+def test_sessions_of_a_group_in_any_frames(monkeypatch, block):
+    """Frames, calls and blocks of the state cut the rows of several keys anyhow."""
+    import pandas as pd
+
+    monkeypatch.setattr(eventtime, "BLOCK", block)
+
+    class Handle:
+        def __init__(self):
+            self.rows, self.timers = [], set()
+
+        def getListState(self, name, schema):
+            return self
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = rows
+
+        def clear(self):
+            self.rows = []
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+        def registerTimer(self, t):
+            self.timers.add(t)
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    rows, handle, clock, r = many_users(9, 500, 12), Handle(), Clock(), random.Random(1)
+    job = eventtime.RunningSessions(3_600_000_000)
+    job.init(handle)
+    origin = int(T0.replace(tzinfo=dt.UTC).timestamp()) * 1_000_000
+    all_ = pd.DataFrame([(u, origin + int(h * 3_600_000_000), i, k, m or 0) for i, u, k, m, h in rows], columns=["key", "t", "id", "type", "amount"])
+    got = Counter()
+    for call in range(4):
+        mine = all_[all_.id % 4 == call]
+        cuts = sorted({0, len(mine), *r.sample(range(len(mine)), 9)})
+        list(job.handleInputRows((0,), iter([mine.iloc[a:b] for a, b in zip(cuts, cuts[1:])]), clock))
+        assert len(handle.timers) == 1
+    while handle.timers:
+        clock.now = min(handle.timers) + 3_600_000 * r.randrange(4)
+        for out in job.handleExpiredTimer((0,), clock, None):
+            got.update(tuple(None if pd.isna(x) else x for x in t) for t in out.itertuples(index=False, name=None))
+    assert got == brute_sessions(rows, 1) and not handle.rows
+
+
+def test_sessions_need_a_plain_key(spark):
+    with pytest.raises(TypeError):
+        running_sessions(at(spark, []).withColumn("u", F.array("u")), time="time", key="u", id_="id", type_="type", amount="amount", gap_us=1, delay="1 hour")
+
+
 def test_sessions_are_closed_once(spark):
     """State is dropped with its session: a later session of the same key starts anew."""
     make = lambda s: running_sessions(s, time="time", key="u", id_="id", type_="type", amount="amount", gap_us=3_600_000_000, delay="1 hour")
