@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import forget, stored
+from ..session import forget, small_batches, stored
 from .bounded import few
 from .graph import components
 from .words import U, Words, by_text, chunks, mix
@@ -294,6 +294,7 @@ def join(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     reaches has a doc_id. Other columns are ignored; an empty table gives no rows.
     """
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     common = spark.sparkContext.broadcast(common_tokens(rows, k))
     found = rows.select("doc_id", "text", _version()).mapInArrow(_sets(k, percent, common), "doc_id long, version long, n long, rare long, d1 long, d2 long, prefix array<long>, marks array<long>, wide array<long>")

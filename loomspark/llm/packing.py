@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_batches
 from .tokens import CHUNK, Encoder
 from .words import U, chunks, mix
 
@@ -97,6 +98,7 @@ def packed(docs: DataFrame, tokenizer: str, *, tokens: int = 2048, documents: in
     is the end id alone. Repeated rows are packed each on its own, other columns are ignored,
     and an empty table gives no pieces.
     """
+    small_batches(docs.sparkSession)
     capacity = (tokens, documents or tokens, attention or tokens * tokens)
     most = min(tokens, math.isqrt(capacity[2]))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

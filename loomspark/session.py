@@ -21,6 +21,11 @@ DEFAULTS = {
 }
 
 
+#: Bytes of rows in one Arrow batch; a task holds a batch outside the JVM's heap and once more in its Python worker.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def env(name: str, default: str) -> str:
     """An environment variable, or ``default`` where it is unset."""
     return os.environ.get(name, default)
@@ -36,6 +41,13 @@ def build(master: str | None = None, app: str = "loomspark", **conf: str) -> Spa
     return builder.getOrCreate()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch of this session hold much more than ``BATCH_BYTES``, where Spark's default is 64 MB; a bound that was
+    set before stays. Spark reads the setting when a query runs, so it stays after the operator that asked for it."""
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, else one made for local runs.
 

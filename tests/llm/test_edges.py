@@ -5,13 +5,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomspark.llm import licenses, mixing, nbsvm, packing, quality_rules, substrings, token_files, words
+from loomspark.llm import jaccard, licenses, mixing, nbsvm, packing, quality_rules, substrings, token_files, words
 from loomspark.llm.tokens import default_tokenizer
-from loomspark.session import scratch
+from loomspark.session import BATCH_BYTES, scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DDL = "doc_id long, text string"
@@ -113,3 +114,24 @@ def test_scores_of_long_texts(spark):
     assert len(half) > words.CHUNK
     got = {r.doc_id: r.score for r in nbsvm.score(spark.createDataFrame([(1, half), (2, half + half), (3, "good words here good")], DDL), model).collect()}
     assert got[1] == pytest.approx(got[2]) and got[1] > 0.5 and all(0 <= s <= 1 for s in got.values())
+
+
+@pytest.mark.parametrize("operator", [quality_rules.keep, quality_rules.ledger, jaccard.join, lambda docs: packing.packed(docs, default_tokenizer())])
+def test_batches_of_texts_are_small(spark, operator):
+    session = spark.newSession()  # the setting is the session's
+    docs = session.range(3_000, numPartitions=1).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 1000) AS text")
+    operator(docs.limit(20))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"size": [b.nbytes], "n": [b.num_rows]})
+
+    got = docs.mapInArrow(sizes, "size long, n long").collect()
+    assert sum(r.n for r in got) == 3_000 and max(r.size for r in got) < 2 * BATCH_BYTES
+
+
+def test_a_bound_on_batches_stays(spark):
+    session = spark.newSession()
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    packing.packed(session.createDataFrame([(1, "a b")], "doc_id long, text string"), default_tokenizer())
+    assert session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"
